@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_count
+from . import pfor, token_count, unigram
 
-try:
-    import public_tokenizers
 
-    def vocabulary(name: str) -> str:
-        return public_tokenizers.path(name)
-except ModuleNotFoundError:
-
-    def vocabulary(name: str) -> str:
-        return f"/opt/tokenizers/{name}"
+def vocabulary(name: str) -> str:
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +23,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to files of blocks in ascending doc_id order and read back."""
+    return pfor.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the best path over the pieces, and decoded."""
+    return unigram.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts}
+    return {f.__name__: f for f in (op4_token_counts, op6_pfor_files, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:

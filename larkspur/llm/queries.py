@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pfor, token_count, unigram
+from . import line_dedup, pfor, simhash, token_count, unigram
 
 
 def vocabulary(name: str) -> str:
@@ -18,11 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of repeated runs of lines that have 50 words or more."""
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component of fingerprints at 2 or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to files of blocks in ascending doc_id order and read back."""
     return pfor.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -34,7 +44,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op6_pfor_files, op10_unigram)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_token_counts, op5_simhash, op6_pfor_files, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:

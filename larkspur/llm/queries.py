@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pfor, simhash, token_count, unigram
+from . import line_dedup, pfor, quality_rules, simhash, token_count, unigram
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics, robust distance and verdict of every document."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -44,7 +49,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_token_counts, op5_simhash, op6_pfor_files, op10_unigram)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_token_counts, op5_simhash, op6_pfor_files, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:

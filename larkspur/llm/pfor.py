@@ -8,14 +8,16 @@ each document, so that any document can be read from its blocks alone.
 Layout, little-endian: magic, then the blocks, then the index (u64 starts, and the end of the last block), the
 document table (i64 ids, u8 flags for null ids, u32 counts), and a footer (u64 place of the index, u64 number of
 blocks, u64 number of documents, u64 number of ids, magic). A block: u32 least id, u8 width, u8 0, u16 number of
-exceptions, 32 * width bytes of packed low bits, u8 positions of the exceptions, u32 high parts of the exceptions.
+exceptions, 32 bytes for each of the low bits (all ids' lowest bits first), u8 positions of the exceptions, u32 high parts of the exceptions.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, ship, texts
+from .token_count import byte_symbols
 
 MAGIC = b"LKPFOR01"
 BLOCK = 256
@@ -36,8 +39,8 @@ PERCENTILE = 0.9
 FILE_IDS = 4 << 20
 #: Documents that one range of ids holds on average, and the most ranges; a range with more is written in several files.
 RANGE_DOCS, MOST_RANGES = 8192, 10_000
-#: Words whose ids a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Runs whose ids a worker remembers; beyond that those not seen among as many new ones are forgotten.
+REMEMBERED = 300_000
 
 
 def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
@@ -66,8 +69,8 @@ def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -
     out[starts[:-1, None] + np.arange(HEADER.itemsize)] = head.view(np.uint8).reshape(n, HEADER.itemsize)
     for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        bits = ((away[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        low = away[at].astype(np.uint16 if w <= 16 else np.uint32)
+        packed = np.concatenate([np.packbits(((low >> b) & 1).astype(np.uint8), axis=1, bitorder="little") for b in range(w)], axis=1)
         out[starts[at, None] + HEADER.itemsize + np.arange(packed.shape[1])] = packed
     if len(row):
         first = np.concatenate([[0], np.cumsum(many)])[row]
@@ -107,10 +110,10 @@ class File:
         for w in np.unique(width[width > 0]):
             at = np.flatnonzero(width == w)
             packed = self.data[starts[at, None] + HEADER.itemsize + np.arange(BLOCK // 8 * w)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-            low = np.zeros((len(at), BLOCK), np.uint32)
+            kind = np.uint16 if w <= 16 else np.uint32
+            low = np.zeros((len(at), BLOCK), kind)
             for b in range(w):
-                low |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+                low |= np.left_shift(np.unpackbits(packed[:, BLOCK // 8 * b : BLOCK // 8 * (b + 1)], axis=1, bitorder="little"), b, dtype=kind)
             out[at] = low
         if many.any():
             row = np.repeat(np.arange(len(starts)), many)
@@ -127,10 +130,17 @@ class File:
         return self.ids(int(self.ends[k] - self.counts[k]), int(self.ends[k]))
 
 
+#: Letters whose lower case is one letter that no normalization changes; what may follow them in a plain run.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"([{LETTERS}]*)([!-&(-/:;=?-@\\[-`{{-~]*)", re.ASCII)
+
+
 class WordIds(dict):
     """Maps a run without blanks to its packed ids, as the library gives them.
 
-    The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its runs.
+    The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its runs. In
+    a plain run, letters and then signs are one word each, and the library's model gets them as they leave its
+    pre-tokenizer; any other run takes the library's whole way.
     """
 
     def __init__(self, path: str):
@@ -140,25 +150,42 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.wide = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.split = self.library.model.tokenize
+        self.wide = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        symbols = byte_symbols()
+        self.symbols = str.maketrans({chr(c): "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)})
+        self.words: dict[str, bytes] = {"": b""}
         self[""] = b""
+        self.old: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.old = self.copy()
             self.clear()
             self[""] = b""
-            new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(found.ids, self.wide).tobytes()
-
-    def encode(self, rows: list[str], end_id: int) -> list[bytes]:
-        end = np.array([end_id], self.wide).tobytes()
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in rows]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, x)) + end for x in split]
+        found = self.old.get(run)
+        if found is not None:
+            self[run] = found
+            return found
+        plain = PLAIN.fullmatch(run)
+        if plain:
+            letters, signs = plain.groups()
+            found = self.word(letters.lower().translate(self.symbols)) + self.word(signs)
+        else:
+            found = array(self.wide, self.library.encode(run, add_special_tokens=False).ids).tobytes()
+        self[run] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= REMEMBERED:
+                self.words = {"": b""}
+            found = self.words[word] = array(self.wide, [x.id for x in self.split(word)]).tobytes()
+        return found
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 @lru_cache(maxsize=1)
@@ -191,13 +218,14 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
         for whole in batches:
             for batch in blocks(whole, 1, 4 << 20):
                 own = batch.column(0).to_pylist()
-                made = known.encode(texts(batch, 1), end_id)
+                end = array(known.wide, [end_id]).tobytes()
+                made = [known.encode(x) + end for x in texts(batch, 1)]
                 at = np.searchsorted(cuts, np.array([x or 0 for x in own], np.int64), side="left") + 1
                 at[[x is None for x in own]] = 0
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), pa.array(made, pa.binary())], names=["id_range", "id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = word_ids(vocabulary).wide
+        wide = np.dtype(word_ids(vocabulary).wide)
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
         docs_in, held, size, at, part = [], [], 0, None, 0

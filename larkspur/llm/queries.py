@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pfor, quality_rules, simhash, token_count, unigram
+from . import line_dedup, pfor, quality_gam, quality_rules, simhash, token_count, toxicity, unigram, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labels outside the held-out fold."""
+    return quality_gam.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics, robust distance and verdict of every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -43,13 +48,27 @@ def op6_pfor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity, learned from the labels outside the held-out fold."""
+    return toxicity.score_severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Longest wins.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL, by rule or by trees."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the best path over the pieces, and decoded."""
     return unigram.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_token_counts, op5_simhash, op6_pfor_files, op10_unigram)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_gam, op3_quality_rules, op4_token_counts, op5_simhash, op6_pfor_files, op7_toxicity, op8_url_filter, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:

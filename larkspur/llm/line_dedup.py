@@ -158,7 +158,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     of later copies only becomes empty. An empty table gives an empty table.
     """
     cuts = repeated_runs(docs, min_words, id_col, text_col).select(F.col("id").alias("__lk_id"), F.col("t").alias("__lk_t"), F.col("cuts").alias("__lk_cuts"))
-    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col("__lk_id")) & (F.xxhash64(text_col) == F.col("__lk_t")), "left")
+    # both sides grow with the corpus: the same join at every size
+    joined = docs.join(cuts.hint("merge"), F.col(id_col).eqNullSafe(F.col("__lk_id")) & (F.xxhash64(text_col) == F.col("__lk_t")), "left")
     inside = lambda i: F.exists("__lk_cuts", lambda c: (i >= c["first"]) & (i <= c["last"]))
     kept = let(F.split(text_col, "\n"), lambda lines: F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
     text = F.when(F.col("__lk_cuts").isNull(), F.col(text_col)).otherwise(kept)

@@ -180,4 +180,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     scratch = Scratch(docs.sparkSession)
     found = scratch.table(quality_rules(docs, id_col, text_col, lang_col, source_col).withColumnRenamed(id_col, "__lk_id").select("__lk_id", F.col("t").alias("__lk_t"), "kept"), "verdicts")
     goes = found.where("not kept").select("__lk_id", "__lk_t").distinct()
-    return docs.join(goes, F.col(id_col).eqNullSafe(F.col("__lk_id")) & (F.xxhash64(text_col) == F.col("__lk_t")), "left_anti")
+    return docs.join(goes.hint("merge"), F.col(id_col).eqNullSafe(F.col("__lk_id")) & (F.xxhash64(text_col) == F.col("__lk_t")), "left_anti")

@@ -118,7 +118,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     scratch = Scratch(docs.sparkSession)
     found = scratch.table(near_duplicates(docs, id_col, text_col, words_in_shingle).withColumnRenamed(id_col, "id"), "near")
     goes = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__lk_id")).distinct()
-    left = docs.join(goes, F.col(id_col).eqNullSafe(F.col("__lk_id")), "left_anti")
+    left = docs.join(goes.hint("merge"), F.col(id_col).eqNullSafe(F.col("__lk_id")), "left_anti")
     kept = found.where(F.col("id") == F.col("component_id"))
     again = kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__lk_again"))
     if again.isEmpty():

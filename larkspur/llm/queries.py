@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pfor, quality_gam, quality_rules, simhash, token_count, toxicity, unigram, url_filter
+from . import decontamination, line_dedup, pfor, quality_gam, quality_rules, simhash, token_count, toxicity, unigram, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -62,13 +62,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that stands in it."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the best path over the pieces, and decoded."""
     return unigram.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_gam, op3_quality_rules, op4_token_counts, op5_simhash, op6_pfor_files, op7_toxicity, op8_url_filter, op10_unigram)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_gam, op3_quality_rules, op4_token_counts, op5_simhash, op6_pfor_files, op7_toxicity, op8_url_filter, op9_decontamination, op10_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:

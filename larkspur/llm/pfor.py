@@ -39,8 +39,8 @@ PERCENTILE = 0.9
 FILE_IDS = 4 << 20
 #: Documents that one range of ids holds on average, and the most ranges; a range with more is written in several files.
 RANGE_DOCS, MOST_RANGES = 8192, 10_000
-#: Runs whose ids a worker remembers; beyond that those not seen among as many new ones are forgotten.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers; beyond that those not seen among as many new ones are forgotten.
+REMEMBERED = 450_000
 
 
 def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
@@ -130,17 +130,16 @@ class File:
         return self.ids(int(self.ends[k] - self.counts[k]), int(self.ends[k]))
 
 
-#: Letters whose lower case is one letter that no normalization changes; what may follow them in a plain run.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(f"([{LETTERS}]*)([!-&(-/:;=?-@\\[-`{{-~]*)", re.ASCII)
+#: Characters whose lower case is one character that no normalization changes, and how the vocabulary's pre-tokenizer cuts a text of these.
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class WordIds(dict):
-    """Maps a run without blanks to its packed ids, as the library gives them.
+    """Maps a word of lower-cased plain text to its packed ids, as the library's model gives them.
 
-    The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those of its runs. In
-    a plain run, letters and then signs are one word each, and the library's model gets them as they leave its
-    pre-tokenizer; any other run takes the library's whole way.
+    A text of plain characters without added tokens is cut as the vocabulary's pre-tokenizer does; any other text takes
+    the library's whole way.
     """
 
     def __init__(self, path: str):
@@ -150,42 +149,26 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = self.library.model.tokenize
+        self.model = self.library.model.tokenize
         self.wide = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         symbols = byte_symbols()
         self.symbols = str.maketrans({chr(c): "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)})
-        self.words: dict[str, bytes] = {"": b""}
-        self[""] = b""
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, run: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.old = self.copy()
             self.clear()
-            self[""] = b""
-        found = self.old.get(run)
-        if found is not None:
-            self[run] = found
-            return found
-        plain = PLAIN.fullmatch(run)
-        if plain:
-            letters, signs = plain.groups()
-            found = self.word(letters.lower().translate(self.symbols)) + self.word(signs)
-        else:
-            found = array(self.wide, self.library.encode(run, add_special_tokens=False).ids).tobytes()
-        self[run] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.old.get(word)
         if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.words = {"": b""}
-            found = self.words[word] = array(self.wide, [x.id for x in self.split(word)]).tobytes()
+            found = array(self.wide, [x.id for x in self.model(word.translate(self.symbols))]).tobytes()
+        self[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return array(self.wide, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, CUT.findall(text.lower())))
 
 
 @lru_cache(maxsize=1)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import bare, statement
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
@@ -26,6 +28,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Registers a statement with tables written {name}; the oracle is the same statement unless given."""
+    query(name, bare(text) if oracle is None else oracle)(lambda spark, sf_dir: statement(spark, sf_dir, text))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -1 +1 @@
-
+"""Reading tables and writing results."""

@@ -1 +1 @@
-
+"""Event-time aggregates that run over tables and streams alike."""

@@ -119,10 +119,10 @@ class Numeric:
 def _quotient(left: Column, s: int, right: Column, r: int) -> Column:
     """A quotient at scale 16 from a whole part and the quotient of what is left, each within 38 digits."""
     whole = F.floor(F.abs(left) / F.abs(right)).cast("decimal(20,0)")
-    rest = (F.abs(left).cast(f"decimal({20 + s},{s})") - (whole * F.abs(right).cast(f"decimal({14 + r},{r})"))).cast(f"decimal({14 + max(s, r)},{max(s, r)})")
+    rest = (F.abs(left).cast(f"decimal({20 + s},{s})") - (whole * F.abs(right).cast(f"decimal({14 + r},{r})"))).cast(f"decimal({17 + max(s, r)},{max(s, r) + 3})")
     fraction = F.round(rest / F.abs(right).cast(f"decimal({14 + r},{r})"), OPEN_SCALE).cast(f"decimal({OPEN_SCALE + 2},{OPEN_SCALE})")
-    sign = F.when((left < 0) != (right < 0), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
-    return ((whole.cast("decimal(21,0)") + fraction) * sign).cast(f"decimal({MOST},{OPEN_SCALE})")
+    made = (whole.cast("decimal(21,0)") + fraction).cast(f"decimal({MOST},{OPEN_SCALE})")
+    return F.when((left < 0) != (right < 0), -made).otherwise(made)
 
 
 def compare_numeric(x: Column) -> Column:

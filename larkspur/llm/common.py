@@ -112,6 +112,33 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
         yield batch.slice(at, rows)
 
 
-def in_parts(frame: DataFrame) -> DataFrame:
-    """The frame in at least as many partitions as there are cores, where it has few large ones."""
-    return frame
+_held: list = []
+
+
+def hold(release) -> None:
+    """Called by what makes a worker remember much: the last to have done so gives its memory back with `release`."""
+    while _held:
+        _held.pop()()
+    _held.append(release)
+
+
+class Remembering(dict):
+    """A dictionary that makes what it lacks by `make` and keeps what was asked for among the last `most` to twice as many new keys."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, blocks, ship, texts
+from .common import Remembering, Scratch, blocks, hold, ship, texts
 
 LENGTH, STEP = 32, 16
 TERMS, SKETCH, RANK = 1 << 13, 128, 96
@@ -37,8 +37,8 @@ ANSWER_WORDS = 8
 COMMON = 0.05
 #: Benchmark words that are searched for at once; a larger benchmark takes several turns.
 BLOCK_WORDS = 400_000
-#: Words that a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 500_000
+#: Words that a worker remembers; beyond that those not seen among as many new ones are forgotten.
+REMEMBERED = 300_000
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -51,18 +51,16 @@ def words_of(text: str) -> list[str]:
     return [w for x in text.lower().split() if (w := EDGES.sub("", x))]
 
 
-class Runs(dict):
+class Runs(Remembering):
     """Maps a lower-cased run without white space to its word's number in the benchmark (0 if none) and term, packed; -1 without a word."""
 
     def __init__(self, numbers: dict[str, int]):
+        super().__init__(REMEMBERED)
         self.numbers = numbers
 
-    def __missing__(self, run: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def make(self, run: str) -> int:
         word = EDGES.sub("", run)
-        found = self[run] = self.numbers.get(word, 0) << 16 | term_of(word) if word else -1
-        return found
+        return self.numbers.get(word, 0) << 16 | term_of(word) if word else -1
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and numbers of a text's words."""
@@ -78,7 +76,7 @@ _runs: dict[str, Runs] = {}
 def runs_for(key: str, numbers: dict[str, int]) -> Runs:
     """What the worker remembers of earlier tasks on the same block of the benchmark."""
     if key not in _runs:
-        _runs.clear()
+        hold(_runs.clear)
         _runs[key] = Runs(numbers)
     return _runs[key]
 

@@ -9,19 +9,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, ship, texts
+from .common import Remembering, blocks, hold, ship, texts
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose counts a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 600_000
+#: Words whose counts a worker remembers; beyond that those not seen among as many new ones are forgotten.
+REMEMBERED = 350_000
 SHIFT = 32
 
 
@@ -32,10 +31,11 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class MergeCounter(dict):
+class MergeCounter(Remembering):
     """Maps a word to its number of tokens, counting it when first asked."""
 
     def __init__(self, path: str):
+        super().__init__(REMEMBERED)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocabulary = spec["model"]["vocab"]
@@ -49,11 +49,8 @@ class MergeCounter(dict):
         self.split = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.words = regex.compile(PATTERN)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = self.count_symbols(word.encode("utf-8", "replace"))
-        return found
+    def make(self, word: str) -> int:
+        return self.count_symbols(word.encode("utf-8", "replace"))
 
     def count_symbols(self, data: bytes) -> int:
         size = len(data)
@@ -97,9 +94,14 @@ class MergeCounter(dict):
         return sum(map(self.__getitem__, self.words.findall(text)))
 
 
-@lru_cache(maxsize=2)
+_ready: dict[str, MergeCounter] = {}
+
+
 def counter(path: str) -> MergeCounter:
-    return MergeCounter(path)
+    if path not in _ready:
+        hold(_ready.clear)
+        _ready[path] = MergeCounter(path)
+    return _ready[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

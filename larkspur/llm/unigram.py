@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ship, texts
+from .common import Remembering, blocks, hold, ship, texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose paths a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 500_000
+#: Chunks whose paths a worker remembers; beyond that those not seen among as many new ones are forgotten.
+REMEMBERED = 250_000
 #: Places of the trie's arrays that are tried at once.
 WINDOW = 1024
 NORMAL, UNKNOWN, CONTROL, BYTE, UNUSED = range(5)
@@ -113,10 +113,11 @@ class Vocabulary:
         return cls.from_pieces([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], [kind(i) for i in ids])
 
 
-class Unigram(dict):
+class Unigram(Remembering):
     """Maps a chunk to the packed ids of its best path, found when first asked."""
 
     def __init__(self, v: Vocabulary):
+        super().__init__(REMEMBERED)
         self.v = v
         self.wide = np.dtype("<u2" if len(v.pieces) <= 1 << 16 else "<u4")
         slack = [0] * 300
@@ -125,11 +126,8 @@ class Unigram(dict):
         self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.byte_kind = np.array([k == BYTE for k in v.kinds])
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[chunk] = np.array(self.path(chunk.encode("utf-8", "replace")), self.wide).tobytes()
-        return found
+    def make(self, chunk: str) -> bytes:
+        return np.array(self.path(chunk.encode("utf-8", "replace")), self.wide).tobytes()
 
     def path(self, data: bytes) -> list[int]:
         """Ids of the best path over UTF-8 bytes."""
@@ -191,7 +189,7 @@ _ready: dict[str, Unigram] = {}
 def ready(key: str, v: Vocabulary) -> Unigram:
     """The worker's tokenizer, with what it remembers from earlier tasks."""
     if key not in _ready:
-        _ready.clear()
+        hold(_ready.clear)
         _ready[key] = Unigram(v)
     return _ready[key]
 

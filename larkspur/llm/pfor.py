@@ -19,7 +19,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, ship, texts
+from .common import Remembering, Scratch, blocks, hold, ship, texts
 from .token_count import byte_symbols
 
 MAGIC = b"LKPFOR01"
@@ -37,14 +36,16 @@ HEADER = np.dtype([("least", "<u4"), ("width", "u1"), ("zero", "u1"), ("exceptio
 PERCENTILE = 0.9
 #: A file is closed when it holds this many ids.
 FILE_IDS = 4 << 20
+#: Ids that are packed at once, whole blocks.
+PACKED = 1 << 19
 #: Documents that one range of ids holds on average, and the most ranges; a range with more is written in several files.
 RANGE_DOCS, MOST_RANGES = 8192, 10_000
 #: Words whose ids a worker remembers; beyond that those not seen among as many new ones are forgotten.
-REMEMBERED = 450_000
+REMEMBERED = 300_000
 
 
-def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    """The bytes of one file; ids: all documents' ids, one after the other."""
+def _pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Blocks of ids, and the size of each."""
     total = len(ids)
     n = -(-total // BLOCK)
     values = np.empty(n * BLOCK, np.int64)
@@ -61,9 +62,8 @@ def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -
     row, place = np.nonzero(high)
     many = np.bincount(row, minlength=n)
     sizes = HEADER.itemsize + BLOCK // 8 * width + 5 * many
-    starts = len(MAGIC) + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     out = np.zeros(int(starts[-1]), np.uint8)
-    out[: len(MAGIC)] = np.frombuffer(MAGIC, np.uint8)
     head = np.zeros(n, HEADER)
     head["least"], head["width"], head["exceptions"] = least, width, many
     out[starts[:-1, None] + np.arange(HEADER.itemsize)] = head.view(np.uint8).reshape(n, HEADER.itemsize)
@@ -79,9 +79,16 @@ def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -
         out[lists + order] = place.astype(np.uint8)
         at = lists + many[row] + 4 * order
         out[at[:, None] + np.arange(4)] = high[row, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes(), sizes
+
+
+def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """The bytes of one file; ids: all documents' ids, one after the other."""
+    packed = [_pack(ids[a : a + PACKED]) for a in range(0, len(ids), PACKED)]
+    starts = len(MAGIC) + np.concatenate([[0], np.cumsum(np.concatenate([s for _, s in packed] or [np.empty(0, np.int64)]))]).astype(np.int64)
     nulls = np.array([x is None for x in doc_ids], np.uint8)
-    footer = np.array([starts[-1], n, len(doc_ids), total], "<u8")
-    return b"".join([out.tobytes(), starts.astype("<u8").tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), nulls.tobytes(), np.array(counts, "<u4").tobytes(), footer.tobytes(), MAGIC])
+    footer = np.array([starts[-1], len(starts) - 1, len(doc_ids), len(ids)], "<u8")
+    return b"".join([MAGIC, *(b for b, _ in packed), starts.astype("<u8").tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), nulls.tobytes(), np.array(counts, "<u4").tobytes(), footer.tobytes(), MAGIC])
 
 
 class File:
@@ -135,7 +142,7 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
-class WordIds(dict):
+class WordIds(Remembering):
     """Maps a word of lower-cased plain text to its packed ids, as the library's model gives them.
 
     A text of plain characters without added tokens is cut as the vocabulary's pre-tokenizer does; any other text takes
@@ -143,6 +150,7 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
+        super().__init__(REMEMBERED)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,17 +161,9 @@ class WordIds(dict):
         self.wide = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         symbols = byte_symbols()
         self.symbols = str.maketrans({chr(c): "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)})
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.old = self.copy()
-            self.clear()
-        found = self.old.get(word)
-        if found is None:
-            found = array(self.wide, [x.id for x in self.model(word.translate(self.symbols))]).tobytes()
-        self[word] = found
-        return found
+
+    def make(self, word: str) -> bytes:
+        return array(self.wide, [x.id for x in self.model(word if word.isascii() else word.translate(self.symbols))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
@@ -171,9 +171,14 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, CUT.findall(text.lower())))
 
 
-@lru_cache(maxsize=1)
+_ready: dict[str, WordIds] = {}
+
+
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    if path not in _ready:
+        hold(_ready.clear)
+        _ready[path] = WordIds(path)
+    return _ready[path]
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -196,6 +201,8 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
     cuts = ids.agg(F.percentile_approx("id", [(k + 1) / n for k in range(n - 1)], 100 * n).alias("cuts")).first()["cuts"] if n > 1 else []
     cuts = np.unique(np.array(cuts or [], np.int64))
 
+    wide = np.dtype(word_ids(vocabulary).wide)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(vocabulary)
         for whole in batches:
@@ -208,7 +215,7 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), pa.array(made, pa.binary())], names=["id_range", "id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = np.dtype(word_ids(vocabulary).wide)
+        hold(lambda: None)  # the words that the tasks before remembered are of no more use
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
         docs_in, held, size, at, part = [], [], 0, None, 0
@@ -256,12 +263,13 @@ def read_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
     ship(files.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(lambda: None)
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, name = _store(path)
                 with store.open_input_stream(name) as source:
                     file = File(source.read())
-                step = max(1, len(file.counts) // max(1, file.total >> 20))
+                step = max(1, len(file.counts) // max(1, file.total >> 19))
                 for k in range(0, len(file.counts), step):
                     last = min(len(file.counts), k + step)
                     begin, end = int(file.ends[k] - file.counts[k]), int(file.ends[last - 1])

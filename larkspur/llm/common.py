@@ -94,6 +94,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def least_hashes(frame: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows: those of the least hashes of their keys, the same on every run.
+
+    Where there are more, a bound on the hash leaves about that many before the sort, so that no task or driver gets
+    `most` rows from every partition.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 1)
+    total = frame.count()
+    if total > most:
+        share = 1.1 * most / total + 1000 / total
+        frame = frame.where(place < int(min(1.0, share) * (2**63 - 1)))
+    return frame.orderBy(place, *keys).limit(most)
+
+
 def let(value: Column, body) -> Column:
     """`body` of a value that is computed once per row, however often `body` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, held_out, ship
+from .common import Scratch, blocks, held_out, least_hashes, ship
 
 #: Labelled rows that the model is fitted on at most: those of the least hashes of their ids.
 SAMPLE = 50_000
@@ -158,7 +158,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     rows = scratch.table(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(count, f"id {kind}, x array<double>"), "statistics")
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
-    some = usable.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    some = least_hashes(usable, ["id", "y"], sample)
     known = rows.join(some, "id").select("x", "y").toArrow()
     x = np.array(known["x"].combine_chunks().flatten(), np.float64).reshape(-1, len(NAMES)) if known.num_rows else np.empty((0, len(NAMES)))
     order = np.lexsort(x.T) if len(x) else np.empty(0, int)  # sums do not depend on the order of arrival

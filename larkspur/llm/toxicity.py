@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, ship, texts
+from .common import blocks, held_out, least_hashes, ship, texts
 
 #: Labelled rows that features and weights are learned from at most: those of the least hashes of their ids.
 SAMPLE = 10_000
@@ -126,7 +126,7 @@ def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     ship(spark)
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("grade")).where(F.col("id").isNotNull() & (F.col("grade") >= 0) & ~held_out(F.col("id")))
-    some = usable.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
+    some = least_hashes(usable, ["id", "grade"], sample)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # at most `sample` rows of two numbers: under 300 KB
     known = source.join(F.broadcast(some), "id").withColumn("y", (F.col("grade") > 0).cast("int"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import least_hashes, ship
 
 #: Labelled URLs that trees are fitted on at most: those of the least hashes.
 SAMPLE = 20_000
@@ -158,7 +158,7 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None =
         known = parted.where(F.col("verdict").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
     else:
         known = labelled.where(F.col("blocked").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("int").alias("y"))
-    got = known.distinct().orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()
+    got = least_hashes(known.distinct(), ["url", "y"], sample).collect()
     model = fit([(r.url, r.host, r.path) for r in got], np.array([r.y for r in got], np.float64))
     kind = pages.schema[id_col].dataType.simpleString()
 

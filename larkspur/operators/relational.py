@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import asc, desc
+
 
 def distinct_on(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group of keys in the given order."""
@@ -69,10 +71,16 @@ def limit(frame: DataFrame, rows: int | None = None, offset: int | None = None)
     return frame if rows is None else frame.limit(rows)
 
 
-def with_ties(frame: DataFrame, order: list[Column], rows: int) -> DataFrame:
-    """FETCH FIRST n ROWS WITH TIES."""
-    rank = "__lk_rank"
-    edge = frame.orderBy(*order).limit(rows)
-    # ties of the last row: only keys of the n first rows can tie
-    ranked = frame.withColumn(rank, F.rank().over(Window.orderBy(*order)))
-    return ranked.where(F.col(rank) <= rows).drop(rank) if rows else edge
+def with_ties(frame: DataFrame, keys: list[tuple[str, bool]], rows: int) -> DataFrame:
+    """FETCH FIRST n ROWS WITH TIES; keys are (column, descending), nulls counting as greatest.
+
+    The n first rows are a top-k; the last of them tells the key whose other rows come too. No global sort is needed.
+    """
+    if rows <= 0:
+        return frame.limit(0)
+    order = [desc(k) if down else asc(k) for k, down in keys]
+    back = [asc(k, nulls_first=True) if down else desc(k) for k, down in keys]
+    top = frame.orderBy(*order).limit(rows)
+    last = top.orderBy(*back).limit(1).select(*(F.col(k).alias(f"__lk_{k}") for k, _ in keys))
+    tied = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__lk_{k}")) for k, _ in keys))
+    return top.join(F.broadcast(last), tied, "left_anti").unionAll(frame.join(F.broadcast(last), tied, "left_semi"))

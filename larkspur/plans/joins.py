@@ -12,7 +12,7 @@ O = "(SELECT o_orderkey AS ok, NULLIF(o_custkey + 30, 40) AS ock, o_orderstatus
 
 sql("inner_equi", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_acctbal > 8000")
 sql("inner_equi_residual", "SELECT l_orderkey, l_linenumber, o_orderkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_quantity > 48")
-sql("inner_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM {nation} a JOIN {nation} b ON a.n_regionkey <= b.n_regionkey AND a.n_nationkey > b.n_nationkey".replace("{nation} a", "{nation} AS a").replace("{nation} b", "{nation} AS b"))
+sql("inner_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM {nation} AS a JOIN {nation} AS b ON a.n_regionkey <= b.n_regionkey AND a.n_nationkey > b.n_nationkey")
 sql("cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 sql("comma_join", "SELECT r_name, n_name FROM {region}, {nation} WHERE r_regionkey = n_regionkey")
 sql("left", f"SELECT ck, ok FROM {C} LEFT JOIN {O} ON ck = ock")

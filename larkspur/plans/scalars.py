@@ -28,8 +28,23 @@ def lines(name, oracle, **made):
     query(name, f"SELECT l_orderkey, l_linenumber, {', '.join(f'{sql} AS {k}' for k, sql in zip(made, oracle, strict=True))} {LINES}")(run)
 
 
-K, Q, P, D = (lambda name: lambda: F.col(name))("l_linenumber"), lambda: F.col("l_quantity"), lambda: F.col("l_extendedprice"), lambda: F.col("l_discount")
-money = lambda name: Numeric.of(F.col(name), 15, 2)
+
+def K():
+    return F.col("l_linenumber")
+
+
+def Q():
+    return F.col("l_quantity")
+
+
+def P():
+    return F.col("l_extendedprice")
+
+
+def money(name):
+    return Numeric.of(F.col(name), 15, 2)
+
+
 
 lines("int_add_checked", ["l_linenumber + 5", "l_linenumber - 9", "l_linenumber * 3"], a=lambda: K() + 5, s=lambda: K() - 9, p=lambda: K() * 3)
 lines("int_div_trunc", ["CAST(trunc((l_linenumber - 4) / 3) AS INT)", "CAST(trunc(-l_orderkey / 7) AS BIGINT)"], a=lambda: m.int_div(K() - 4, F.lit(3)), b=lambda: m.int_div(-F.col("l_orderkey"), F.lit(7), "bigint"))

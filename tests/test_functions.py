@@ -165,7 +165,9 @@ def test_orders_and_rows(spark):
     assert value(spark, r.all_of(F.lit(1), [], lambda a, b: a == b)) is True
     same = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("x", "x", "y")
     assert r.unique_names(same).columns == ["x", "x_2", "y"]
-    assert [x.x for x in r.with_ties(spark.createDataFrame([(1,), (2,), (2,), (3,)], "x int"), [F.col("x")], 2).orderBy("x").collect()] == [1, 2, 2]
+    assert [x.x for x in r.with_ties(spark.createDataFrame([(1,), (2,), (2,), (3,)], "x int"), [("x", False)], 2).orderBy("x").collect()] == [1, 2, 2]
+    ties = spark.createDataFrame([(None, 1), (3, 2), (None, 3), (1, 4)], "x int, y int")
+    assert sorted(x.y for x in r.with_ties(ties, [("x", True)], 1).collect()) == [1, 3]
 
 
 def test_grouping_sets_over_no_rows(spark):

@@ -98,7 +98,7 @@ def parse_format(pattern: str) -> list[str | Spec]:
     return [x for x in out if x != ""]
 
 
-def _resolved(pieces: list[str | Spec], count: int) -> list[tuple[str | Spec, int | None, int | None]]:
+def resolved(pieces: list[str | Spec], count: int) -> list[tuple[str | Spec, int | None, int | None]]:
     """Each piece with the places of its value and of its width among the arguments, from 0."""
     after, out = 0, []
 
@@ -123,7 +123,7 @@ def _resolved(pieces: list[str | Spec], count: int) -> list[tuple[str | Spec, in
 def format(pattern: str, *args: Column, booleans: tuple[int, ...] = ()) -> Column:
     """format() with a constant pattern, parsed once and built of native expressions: %s %I %L %%, n$, -, widths, * and *n$."""
     parts = []
-    for piece, at, width_at in _resolved(parse_format(pattern), len(args)):
+    for piece, at, width_at in resolved(parse_format(pattern), len(args)):
         if isinstance(piece, str):
             parts.append(F.lit(piece))
             continue
@@ -146,7 +146,7 @@ def format(pattern: str, *args: Column, booleans: tuple[int, ...] = ()) -> Colum
 def format_text(pattern: str, args: list[str | None]) -> str:
     """format() of plain values."""
     out = []
-    for piece, at, width_at in _resolved(parse_format(pattern), len(args)):
+    for piece, at, width_at in resolved(parse_format(pattern), len(args)):
         if isinstance(piece, str):
             out.append(piece)
             continue

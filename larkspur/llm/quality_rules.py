@@ -134,8 +134,9 @@ def _at_share(counts: DataFrame, keys: list[str], grid: str, share: float) -> Da
 def _medians(rows: DataFrame) -> DataFrame:
     """(g, m, w) to begin with: medians on the grid, and 1 + 1.4826 times the median distance from them as spread."""
     long = rows.select("g", F.posexplode("u").alias("k", "x"))
-    middle = _at_share(long.groupBy("g", "k", F.round(F.col("x") * GRID).alias("v")).agg(F.count("*").alias("n")), ["g", "k"], "v", 0.5)
-    away = long.join(middle, ["g", "k"]).groupBy("g", "k", "v", F.abs(F.round(F.col("x") * GRID) - F.col("v")).alias("d")).agg(F.count("*").alias("n"))
+    counts = long.groupBy("g", "k", F.round(F.col("x") * GRID).alias("x")).agg(F.count("*").alias("n"))
+    middle = _at_share(counts, ["g", "k"], "x", 0.5).withColumnRenamed("x", "v")
+    away = counts.join(middle, ["g", "k"]).groupBy("g", "k", "v", F.abs(F.col("x") - F.col("v")).alias("d")).agg(F.sum("n").alias("n"))
     spread = _at_share(away, ["g", "k", "v"], "d", 0.5).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "v", "d"))).alias("all"))
     one = lambda i: 1.0 / F.sqrt(1.0 + F.pow(1.4826 * F.col("all")[i]["d"] / GRID, F.lit(2.0)))
     factor = [one(i) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)]

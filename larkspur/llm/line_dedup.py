@@ -98,7 +98,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     lines = scratch.table(_lines(docs, id_col, text_col), "lines")
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    # tables of their own, so that adaptive execution can split the rows of a very frequent line or run among tasks
+    often = scratch.table(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "often")
     again = lines.join(often, ["h1", "h2"], "left_semi")
     stretches = again.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("i", "at", "h1", "h2", "w"))).alias("lines"))
     stretches = stretches.where(F.aggregate("lines", F.lit(0).cast("long"), lambda x, y: x + y["w"]) >= min_words)
@@ -125,7 +126,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x, pa.int32()) for x in (first, last, first_at, last_at)), pa.array(name[:, 0]), pa.array(name[:, 1])], names=["id", "t", "i", "j", "first", "last", "n1", "n2"])
 
     found = scratch.table(stretches.mapInArrow(double, f"id {kind}, t long, i int, j int, first int, last int, n1 long, n2 long"), "runs")
-    intervals = found.groupBy("n1", "n2").agg(F.min(F.struct("id", "t", "first")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    intervals = scratch.table(found.groupBy("n1", "n2").agg(F.min(F.struct("id", "t", "first")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"), "intervals")
     later = found.join(intervals, ["n1", "n2"]).where(F.struct("id", "t", "first") > F.col("earliest"))
     marked = later.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("i", "j", "first", "last"))).alias("cuts"))
 
@@ -145,7 +146,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["id", "t", "cuts"])
 
     out = scratch.table(marked.mapInArrow(join_up, f"id {kind}, t long, cuts array<struct<first:int,last:int>>"), "cuts")
-    scratch.drop(lines, found)
+    scratch.drop(lines, often, found, intervals)
     return out
 
 

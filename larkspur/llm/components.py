@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """One round: every node's neighbours above it (large) or up to it (small) are linked to its least neighbour."""
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # a table of its own, so that adaptive execution can split the links of a node that has very many
+    least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         made = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -38,7 +39,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 100) -> Da
         if mark == found or found["n"] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = found
-        after = scratch.table(_star(_star(now, large=True), large=False), "links")
+        after = scratch.table(_star(_star(now, True, scratch), False, scratch), "links")
         scratch.drop(now)
         now = after
     raise RuntimeError(f"the components are not complete after {most_rounds} rounds")

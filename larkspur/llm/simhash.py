@@ -106,7 +106,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = scratch.table(components(links(rows.select("fp").distinct()), scratch), "roots")
     labelled = first.join(roots, F.col("fp") == F.col("node"))
     least = labelled.groupBy("root").agg(F.min("first").alias("least"))
+    # a table of its own, so that adaptive execution can split the rows of a very frequent fingerprint among tasks
     label = first.join(roots.join(least, "root").select(F.col("node").alias("fp"), "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    label = scratch.table(label, "labels")
     return rows.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

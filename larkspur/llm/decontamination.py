@@ -38,7 +38,7 @@ COMMON = 0.05
 #: Benchmark words that are searched for at once; a larger benchmark takes several turns.
 BLOCK_WORDS = 400_000
 #: Words that a worker remembers; beyond that those not seen among as many new ones are forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -59,7 +59,7 @@ class Runs(Remembering):
         self.numbers = numbers
 
     def make(self, run: str) -> int:
-        word = EDGES.sub("", run)
+        word = run if run.isalnum() else EDGES.sub("", run)
         return self.numbers.get(word, 0) << 16 | term_of(word) if word else -1
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +134,16 @@ class Space:
         """Unit vectors of passages; zero for those without terms."""
         return self._unit(np.vstack([self.known[passages[a : a + 1024]].sum(axis=1) for a in range(0, len(passages), 1024)] or [self.project[:0]]))
 
-    def place_pairs(self, steps: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Unit vectors of the passages that begin at the chosen of one text's steps."""
+    def place_pairs(self, steps: np.ndarray, chosen: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+        """Unit vectors of the passages that begin at the chosen steps; goes_on: whether the next step is of the same text."""
         use = np.zeros(len(steps) + 1, bool)
-        use[chosen] = use[chosen + 1] = True
-        use[-1] = False
+        use[chosen] = True
+        use[chosen[goes_on[chosen]] + 1] = True
         at = np.flatnonzero(use)
         sums = np.zeros((len(steps) + 1, self.project.shape[1]), np.float32)
-        for a in range(0, len(at), 1024):
-            sums[at[a : a + 1024]] = self.known[steps[at[a : a + 1024]]].sum(axis=1)
-        return self._unit(sums[chosen] + sums[chosen + 1])
+        for a in range(0, len(at), 256):
+            sums[at[a : a + 256]] = self.known[steps[at[a : a + 256]]].sum(axis=1)
+        return self._unit(sums[chosen] + sums[chosen + 1] * goes_on[chosen, None])
 
     @property
     def known(self) -> np.ndarray:
@@ -266,41 +266,53 @@ class Search:
         self.many = np.array([len(o) for o in owners], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.many)])[:-1]
 
-    def enough(self, numbers: np.ndarray, passages: int) -> np.ndarray:
-        """(passages, items): whether the words near a passage are enough of an item's rarer words."""
-        steps = -(-len(numbers) // STEP)
+    def enough(self, numbers: np.ndarray) -> np.ndarray:
+        """(steps, items): whether the words near the passage that begins at a step are enough of an item's rarer words."""
+        steps = len(numbers) // STEP
         at = np.flatnonzero(self.many[numbers])
         many = self.many[numbers[at]]
         owner = self.owner[np.repeat(self.first[numbers[at]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         width = len(self.needs)
-        found = np.bincount(np.repeat(at // STEP, many) * width + owner, minlength=steps * width).reshape(steps, width)
-        upto = np.vstack([np.zeros((1, width), np.int64), np.cumsum(found, axis=0)])
+        found = np.bincount(np.repeat(at // STEP, many) * width + owner, minlength=steps * width).reshape(steps, width).astype(np.int32)
+        upto = np.vstack([np.zeros((1, width), np.int32), np.cumsum(found, axis=0, dtype=np.int32)])
         reach = -(-self.longest // STEP)
-        start = np.arange(passages)
+        start = np.arange(steps)
         return upto[np.minimum(steps, start + LENGTH // STEP + reach)] - upto[np.maximum(0, start - reach)] >= self.needs
 
-    def matches(self, terms: np.ndarray, numbers: np.ndarray) -> list[tuple[int, float, float, float]]:
-        """Matches in one text: number of the item, cosine, shares of its words and of its answer's that stand in order."""
-        grid, _ = _padded([terms])
-        enough = self.enough(numbers, max(1, len(grid) - 1))
+    def matches(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, float, float, float]]:
+        """Matches in texts of (terms, numbers): place of the text, number of the item, cosine, shares of its words and of its answer's that stand in order.
+
+        Texts are laid one after the other, so that a few array operations serve many of them; words of a neighbour can
+        only let a passage through to the exact checks, which see its own text alone.
+        """
+        grid, steps = _padded([t for t, _ in texts])
+        if not len(grid):
+            return []
+        numbers = np.zeros(grid.size, np.uint32)
+        numbers[grid.ravel() >= 0] = np.concatenate([n for _, n in texts])
+        owner = np.repeat(np.arange(len(texts)), steps)
+        first = np.cumsum(steps) - steps
+        goes_on = np.append(owner[1:] == owner[:-1], False)
+        enough = self.enough(numbers)
+        enough[~goes_on & (steps[owner] > 1)] = False  # the last step of a text is in the passage before it
         chosen = np.flatnonzero(enough.any(axis=1))
         if not len(chosen):
             return []
-        cosines = self.space.place_pairs(grid, chosen) @ self.placed.T
-        best: dict[int, tuple[float, float, float]] = {}
+        cosines = self.space.place_pairs(grid, chosen, goes_on) @ self.placed.T
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for p, k in zip(*np.nonzero((cosines >= COSINE) & enough[chosen]), strict=True):
-            item = self.items.words[k]
-            size, start = len(item), int(chosen[p]) * STEP
-            near = numbers[max(0, start - size) : start + LENGTH + size]
+            item, own = self.items.words[k], int(owner[chosen[p]])
+            size, start = len(item), int(chosen[p] - first[own]) * STEP
+            near = texts[own][1][max(0, start - size) : start + LENGTH + size]
             near = near[near > 0].tolist()
             share = lcs(item, near) / size
             if share < LCS_SHARE:
                 continue
             answer = self.items.answers[k]
             right = lcs(answer, near) / len(answer) if answer else 1.0
-            if right >= ANSWER_SHARE and (k not in best or (share, cosines[p, k]) > best[k][1::-1]):
-                best[k] = (float(cosines[p, k]), share, right)
-        return [(int(k), *v) for k, v in best.items()]
+            if right >= ANSWER_SHARE and ((own, k) not in best or (share, cosines[p, k]) > best[own, k][1::-1]):
+                best[own, k] = (float(cosines[p, k]), share, right)
+        return [(own, int(k), *v) for (own, k), v in best.items()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
@@ -351,8 +363,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, placed=placed) -> Iterator[pa.RecordBatch]:
             ready = Search(sent.value, placed.value)
+            room = max(64, 800_000 // max(1, len(ready.items.ids)))
             for batch in batches:
-                got = [(doc, ready.items.ids[k], *rest) for doc, terms, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True) if terms for k, *rest in ready.matches(np.frombuffer(terms, np.uint16), np.frombuffer(numbers, np.uint32))]
+                docs, terms, numbers = (c.to_pylist() for c in batch.columns)
+                sizes = np.array([len(x) // (2 * STEP) + 1 for x in terms], np.int64)
+                turn = np.cumsum(sizes) // room
+                got = []
+                for t in np.unique(turn):
+                    at = np.flatnonzero(turn == t)
+                    found = ready.matches([(np.frombuffer(terms[i], np.uint16), np.frombuffer(numbers[i], np.uint32)) for i in at])
+                    got += [(docs[at[own]], ready.items.ids[k], *rest) for own, k, *rest in found]
                 columns = [list(c) for c in zip(*got, strict=True)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], item_type), *(pa.array(c, pa.float64()) for c in columns[2:])], names=[id_col, item_col, "cosine", "lcs_share", "answer_share"])
 

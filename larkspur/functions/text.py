@@ -6,10 +6,12 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 
 def bool_text(x: Column) -> Column:
     """t or f, as boolean output functions give them."""
@@ -169,6 +171,8 @@ def format_text(pattern: str, args: list[str | None]) -> str:
 def format_dynamic(pattern: Column, *args: Column, booleans: tuple[int, ...] = ()) -> Column:
     """format() with a pattern per row, in Arrow batches; a null pattern gives null."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf(T.StringType())
     def apply(patterns: pd.Series, values: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else format_text(p, list(v)) for p, v in zip(patterns, values, strict=True)])

@@ -3,38 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_shipped: set[str] = set()
+from ..shipping import ship
 
+__all__ = ["WORD", "Remembering", "Scratch", "blocks", "delete", "held_out", "hold", "least_hashes", "let", "shared_dir", "ship", "texts"]
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="larkspur-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, "larkspur.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, Path(root.name) / path.relative_to(root))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
+#: A word is a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""

@@ -18,11 +18,10 @@ __all__ = ["WORD", "Remembering", "Scratch", "blocks", "delete", "held_out", "ho
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("larkspur.shared.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("larkspur.shared.dir", None)
     if not found:
         folder = tempfile.mkdtemp(prefix="larkspur-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bpchar, bpchar_key
 from ..sources.tables import tables
-from .registry import query, sql
+from .registry import query, sql, whole
 
 #: Customers and orders that do not all meet: one side has keys that the other lacks, and null keys.
 C = "(SELECT NULLIF(c_custkey, 9) AS ck, c_nationkey AS nk FROM {customer} WHERE c_custkey < 60) AS c"
@@ -19,6 +19,8 @@ sql("left", f"SELECT ck, ok FROM {C} LEFT JOIN {O} ON ck = ock")
 sql("left_on_residual", f"SELECT ck, ok FROM {C} LEFT JOIN {O} ON ck = ock AND st = 'F'")
 sql("right", f"SELECT ck, ok FROM {C} RIGHT JOIN {O} ON ck = ock")
 sql("full", f"SELECT ck, ok FROM {C} FULL JOIN {O} ON ck = ock")
+for _name in ("left", "left_on_residual", "right", "full"):
+    whole(_name, " WHERE c_custkey < 60", " WHERE o_custkey < 50")
 sql("full_theta", "SELECT a.r_regionkey AS x, n_nationkey AS y FROM {region} AS a FULL JOIN {nation} ON a.r_regionkey > n_regionkey + 2")
 sql("full_on_false", "SELECT r_regionkey AS x, n_nationkey AS y FROM {region} FULL JOIN {nation} ON 1 = 0")
 sql("using", "SELECT k, r_name, n_name FROM (SELECT r_regionkey AS k, r_name FROM {region}) AS r JOIN (SELECT n_regionkey AS k, n_name FROM {nation}) AS n USING (k)")

@@ -1,5 +1,7 @@
 """Scalar functions, operators and casts."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic as m
@@ -8,7 +10,7 @@ from ..functions import text as t
 from ..functions.arithmetic import Numeric
 from ..functions.intervals import interval, interval_text
 from ..sources.tables import table
-from .registry import query, sql
+from .registry import query, sql, whole
 
 LINES = "FROM lineitem WHERE l_orderkey < 300"
 #: A float on both sides of zero with halves, and texts with quotes, blanks and nulls.
@@ -16,16 +18,21 @@ X = "(CAST(l_linenumber AS DOUBLE) * 0.5 - 2)"
 
 
 def _lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 300").withColumn("x", F.col("l_linenumber").cast("double") * 0.5 - 2)
+    return _all_lines(spark, sf_dir).where("l_orderkey < 300")
+
+
+def _all_lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").withColumn("x", F.col("l_linenumber").cast("double") * 0.5 - 2)
 
 
 def lines(name, oracle, **made):
     """Expressions over single lines; `oracle` are the same as SQL, in the same order."""
 
-    def run(spark, sf_dir):
-        return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *(value().alias(k) for k, value in made.items()))
+    def run(spark, sf_dir, rows=_lines):
+        return rows(spark, sf_dir).select("l_orderkey", "l_linenumber", *(value().alias(k) for k, value in made.items()))
 
     query(name, f"SELECT l_orderkey, l_linenumber, {', '.join(f'{sql} AS {k}' for k, sql in zip(made, oracle, strict=True))} {LINES}")(run)
+    whole(name, " WHERE l_orderkey < 300", rows=_all_lines)
 
 
 
@@ -75,16 +82,21 @@ S = "(SELECT p_partkey AS k, p_name AS n, NULLIF(p_type, 'SMALL') AS y, CASE WHE
 
 
 def _parts(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey < 300")
+    return _all_parts(spark, sf_dir).where("k < 300")
+
+
+def _all_parts(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return part.select(k.alias("k"), F.col("p_name").alias("n"), F.nullif("p_type", F.lit("SMALL")).alias("y"), F.when(k % 3 != 0, F.col("p_size") > 20).alias("f"), F.concat("p_name", F.lit("'"), F.when(k % 2 == 0, "\\").otherwise(""), F.lit("  ")).alias("q"))
 
 
 def parts(name, oracle, **made):
-    def run(spark, sf_dir):
-        return _parts(spark, sf_dir).select("k", *(value().alias(k) for k, value in made.items()))
+    def run(spark, sf_dir, rows=_parts):
+        return rows(spark, sf_dir).select("k", *(value().alias(k) for k, value in made.items()))
 
     query(name, None if oracle is None else f"SELECT k, {', '.join(f'{sql} AS {k}' for k, sql in zip(made, oracle, strict=True))} FROM {S}")(run)
+    whole(name, " WHERE p_partkey < 300", rows=_all_parts)
 
 
 TF = "CASE WHEN f THEN 't' WHEN NOT f THEN 'f' END"
@@ -107,9 +119,12 @@ parts("array_subscript_oob", ["CASE WHEN k % 4 - 1 = 1 THEN n WHEN k % 4 - 1 = 2
 
 
 @query("format_dynamic", f"SELECT k, CASE WHEN k % 2 = 0 THEN n || '!' || coalesce(y, '') ELSE coalesce(y, '') || n END AS a FROM {S}")
-def format_dynamic(spark, sf_dir):
+def format_dynamic(spark, sf_dir, rows=_parts):
     """A pattern per row."""
-    return _parts(spark, sf_dir).select("k", t.format_dynamic(F.when(F.col("k") % 2 == 0, "%s!%s").otherwise("%2$s%1$s"), F.col("n"), F.col("y")).alias("a"))
+    return rows(spark, sf_dir).select("k", t.format_dynamic(F.when(F.col("k") % 2 == 0, "%s!%s").otherwise("%2$s%1$s"), F.col("n"), F.col("y")).alias("a"))
+
+
+whole("format_dynamic", " WHERE p_partkey < 300", rows=_all_parts)
 
 
 @query("random")
@@ -127,14 +142,19 @@ def power_special(spark, sf_dir):
     return spark.range(1).select(F.inline(rows))
 
 
+def _low_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderkey < 200")
+
+
 @query("interval_to_text")
-def interval_to_text(spark, sf_dir):
+def interval_to_text(spark, sf_dir, rows=_low_orders):
     """Texts of intervals of either sign; expected values are in the tests."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 200")
+    orders = rows(spark, sf_dir)
     k = F.col("o_orderkey")
     return orders.select(k, interval_text(interval(k % 27 - 13, k % 5 - 2, (k - 100) * 37_123_456)).alias("t"))
 
 
+whole("interval_to_text", rows=partial(table, name="orders"))
 sql("date_compare", "SELECT o_orderkey FROM {orders} WHERE CAST(o_orderdate AS DATE) < DATE '1995-02-10'")
 sql("date_diff", "SELECT o_orderkey, CAST(datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01') AS INT) AS d FROM {orders}", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS INT) AS d FROM orders")
 sql("time_compare", "SELECT event_id FROM {events} WHERE date_format(ts, 'HH:mm:ss') < '02:30:00'", "SELECT event_id FROM events WHERE CAST(ts AS TIME) < TIME '02:30:00'")

@@ -6,6 +6,9 @@ space: the transposed matrix times a sparse random test matrix (each passage is
 SKETCH rows) is summed over all passages of all documents, and the small sketch's right singular vectors, scaled by
 their singular values, project terms. Passages and benchmark items meet by cosine there; candidates are then checked by
 the longest common subsequence of the item's words and the words around the passage, and the same for its answer.
+A short or much changed item is a small part of a passage that holds it, and its cosine low. So passages under the bar
+are checked too, for the items that no closer passage of their text matches; there the item's words that are near, not
+the whole passage, must be at the bar, which only words that are nearly all common fail.
 
 A common subsequence of the least length needs so many of an item's words near the passage; a passage with too few of
 an item's rarer words near it is not held against that item, which loses nothing.
@@ -19,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -225,7 +229,7 @@ def lcs(item: list[int], words: list[int]) -> int:
 
 @dataclass
 class Items:
-    """A block of the benchmark: known words, and each item's words and answer (by number) and terms."""
+    """A block of the benchmark, shorter items first: known words, and each item's words and answer (by number) and terms."""
 
     ids: list
     numbers: dict[str, int]
@@ -237,6 +241,7 @@ class Items:
     def of(cls, rows: list[tuple]) -> Items:
         numbers: dict[str, int] = {}
         number = lambda ws: [numbers.setdefault(w, len(numbers) + 1) for w in ws]
+        rows = sorted(rows, key=lambda r: len(words_of(r[1])))
         split = [words_of(text) for _, text, _ in rows]
         return cls([r[0] for r in rows], numbers, [number(w) for w in split], [number(words_of(r[2])) if r[2] else number(w[-ANSWER_WORDS:]) for r, w in zip(rows, split, strict=True)], [np.array([term_of(x) for x in w], np.uint16) for w in split])
 
@@ -250,7 +255,8 @@ class Search:
         for k, t in enumerate(items.terms):
             padded[k, : len(t)] = t
         self.placed = space.place(padded)
-        self.longest = padded.shape[1]
+        #: How many steps an item's words reach before and after a passage.
+        self.reach = np.array([-(-len(t) // STEP) for t in items.terms], np.int64)
         rare = np.zeros(len(items.numbers) + 1, bool)
         for w, n in items.numbers.items():
             rare[n] = not space.common[term_of(w)]
@@ -275,9 +281,18 @@ class Search:
         width = len(self.needs)
         found = np.bincount(np.repeat(at // STEP, many) * width + owner, minlength=steps * width).reshape(steps, width).astype(np.int32)
         upto = np.vstack([np.zeros((1, width), np.int32), np.cumsum(found, axis=0, dtype=np.int32)])
-        reach = -(-self.longest // STEP)
         start = np.arange(steps)
-        return upto[np.minimum(steps, start + LENGTH // STEP + reach)] - upto[np.maximum(0, start - reach)] >= self.needs
+        out = np.empty((steps, width), bool)
+        for reach in np.unique(self.reach):
+            k = slice(*np.searchsorted(self.reach, [reach, reach + 1]))
+            own = upto[:, k]
+            out[:, k] = own[np.minimum(steps, start + LENGTH // STEP + reach)] - own[np.maximum(0, start - reach)] >= self.needs[k]
+        return out
+
+    def shared(self, k: int, near: set[int]) -> float:
+        """The cosine of an item and those of its words that are near a passage."""
+        at = np.fromiter(map(near.__contains__, self.items.words[k]), bool, len(self.items.words[k]))
+        return float(self.space.place(self.items.terms[k][at][None].astype(np.int32))[0] @ self.placed[k])
 
     def matches(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, float, float, float]]:
         """Matches in texts of (terms, numbers): place of the text, number of the item, cosine, shares of its words and of its answer's that stand in order.
@@ -300,18 +315,29 @@ class Search:
             return []
         cosines = self.space.place_pairs(grid, chosen, goes_on) @ self.placed.T
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p, k in zip(*np.nonzero((cosines >= COSINE) & enough[chosen]), strict=True):
+        close, held = cosines >= COSINE, enough[chosen]
+        matched: set[tuple[int, int]] = set()
+        # those below COSINE come last, for items that no closer passage of the text matches
+        far = ((p, k) for p, k in zip(*np.nonzero(~close & held), strict=True) if (int(owner[chosen[p]]), k) not in matched)
+        for p, k in chain(zip(*np.nonzero(close & held), strict=True), far):
             item, own = self.items.words[k], int(owner[chosen[p]])
             size, start = len(item), int(chosen[p] - first[own]) * STEP
             near = texts[own][1][max(0, start - size) : start + LENGTH + size]
             near = near[near > 0].tolist()
+            if not close[p, k] and sum(map(set(near).__contains__, item)) < LCS_SHARE * size:
+                continue
             share = lcs(item, near) / size
             if share < LCS_SHARE:
                 continue
             answer = self.items.answers[k]
             right = lcs(answer, near) / len(answer) if answer else 1.0
-            if right >= ANSWER_SHARE and ((own, k) not in best or (share, cosines[p, k]) > best[own, k][1::-1]):
-                best[own, k] = (float(cosines[p, k]), share, right)
+            if right < ANSWER_SHARE:
+                continue
+            cosine = cosines[p, k] if close[p, k] else self.shared(k, set(near))
+            if cosine >= COSINE and ((own, k) not in best or (share, cosine) > best[own, k][1::-1]):
+                best[own, k] = (float(cosine), share, right)
+                if close[p, k]:
+                    matched.add((own, k))
         return [(own, int(k), *v) for (own, k), v in best.items()]
 
 

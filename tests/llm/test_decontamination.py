@@ -75,6 +75,26 @@ def test_planted_passages_are_found_and_nothing_else(planted):
     assert len([r for r in got if r.doc_id == 0]) == 2 * len({k for d, k in found if d == 0})
 
 
+def test_short_and_changed_items_are_all_found(spark):
+    random.seed(12)
+    word = lambda: random.choice(["the", "of", "and", "to", "in"]) if random.random() < 0.4 else "".join(random.choices(["ba", "ko", "ri", "tu", "ne", "sol", "mag", "fen"], k=4))
+    items, docs, truth = [], [], set()
+    for k in range(160):
+        item = [word() for _ in range((6, 8, 15, 30)[k % 4])]
+        kept = [w if k % 4 < 2 or random.random() < 0.65 else word() for w in item]
+        words = [word() for _ in range(300)]
+        at = random.randint(0, 300)
+        words[at:at] = kept
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(words)))
+        rare = {w for w in item if len(w) > 3} & set(kept)
+        if rare and slow_lcs(item, kept) >= dc.LCS_SHARE * len(item) and slow_lcs(item[-8:], kept) >= dc.ANSWER_SHARE * len(item[-8:]):
+            truth.add((k, k))
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(truth) > 120 and truth <= {(r.doc_id, r.item_id) for r in got}
+    assert all(r.cosine >= dc.COSINE and r.lcs_share >= dc.LCS_SHARE for r in got)
+
+
 def test_blocks_of_the_benchmark_make_no_difference(planted, monkeypatch):
     docs, benchmark, *_ = planted
     whole = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, benchmark).collect()}

@@ -5,7 +5,8 @@ their share of a passage's norm and their inverse passage frequency. A distribut
 space: the transposed matrix times a sparse random test matrix (each passage is added, with a random sign, to one of
 SKETCH rows) is summed over all passages of all documents, and the small sketch's right singular vectors, scaled by
 their singular values, project terms. Passages and benchmark items meet by cosine there; candidates are then checked by
-the longest common subsequence of the item's words and the words around the passage, and the same for its answer.
+the longest common subsequence of the item's words and the words around the passage, and the same for its answer, if it
+has one.
 A short or much changed item is a small part of a passage that holds it, and its cosine low. So passages under the bar
 are checked too, for the items that no closer passage of their text matches; there the item's words that are near, not
 the whole passage, must be at the bar, which only words that are nearly all common fail.
@@ -35,8 +36,6 @@ from .common import Remembering, Scratch, blocks, hold, ship, texts
 LENGTH, STEP = 32, 16
 TERMS, SKETCH, RANK = 1 << 13, 128, 96
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.5, 0.6, 0.5
-#: Words that count as an item's answer if it has none of its own: its last.
-ANSWER_WORDS = 8
 #: A term in more than this share of passages is common.
 COMMON = 0.05
 #: Benchmark words that are searched for at once; a larger benchmark takes several turns.
@@ -243,7 +242,7 @@ class Items:
         number = lambda ws: [numbers.setdefault(w, len(numbers) + 1) for w in ws]
         rows = sorted(rows, key=lambda r: len(words_of(r[1])))
         split = [words_of(text) for _, text, _ in rows]
-        return cls([r[0] for r in rows], numbers, [number(w) for w in split], [number(words_of(r[2])) if r[2] else number(w[-ANSWER_WORDS:]) for r, w in zip(rows, split, strict=True)], [np.array([term_of(x) for x in w], np.uint16) for w in split])
+        return cls([r[0] for r in rows], numbers, [number(w) for w in split], [number(words_of(r[2] or "")) for r in rows], [np.array([term_of(x) for x in w], np.uint16) for w in split])
 
 
 class Search:
@@ -342,7 +341,8 @@ class Search:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """A row for each document and benchmark item that is in it: id, item, cosine, lcs_share, answer_share (of the best place).
+    """A row for each document and benchmark item that is in it: id, item, cosine, lcs_share, answer_share (of the best place; 1 for an item
+    without an answer, against which only its own words are held).
 
     Words are runs without white space, lower-cased and without signs at their ends. Null and empty texts match nothing, nor do items
     without a word. Repeated rows and ids on either side give a row each. The benchmark is the query set, held against

@@ -95,6 +95,18 @@ def test_short_and_changed_items_are_all_found(spark):
     assert all(r.cosine >= dc.COSINE and r.lcs_share >= dc.LCS_SHARE for r in got)
 
 
+def test_an_answer_is_asked_of_items_that_have_one(spark):
+    random.seed(13)
+    word = lambda: "".join(random.choices(["ba", "ko", "ri", "tu", "ne", "sol", "mag", "fen"], k=4))
+    item, answer = [word() for _ in range(45)], "forty two days"
+    cut = [*(word() for _ in range(200)), *item[:36], *(word() for _ in range(200))]
+    docs = spark.createDataFrame([(1, " ".join(cut)), (2, " ".join([*cut[:236], answer, *cut[236:]]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item), None), (8, " ".join(item), answer)], "item_id long, text string, answer string")
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench.drop("answer")).collect()} == {(1, 7), (1, 8), (2, 7), (2, 8)}
+    got = dc.contaminated(docs, bench, answer_col="answer").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (2, 7), (2, 8)}
+
+
 def test_blocks_of_the_benchmark_make_no_difference(planted, monkeypatch):
     docs, benchmark, *_ = planted
     whole = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, benchmark).collect()}

@@ -2,24 +2,27 @@
 
 Rules name a host (with its subdomains) and the beginning of a path; the longest that fits decides. The URLs that rules
 decide, or a table of labelled ones, train the trees: lengths, depth, shares of digits and other signs, entropy,
-parameters, and for the last and last two labels of the host how often they were seen and blocked.
+parameters, and for the last and last two labels of the host how often they were seen and blocked, counted on all
+labelled URLs, also where the trees are fitted on a sample.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashes, ship
+from .common import Scratch, least_hashes, ship
 
 #: Labelled URLs that trees are fitted on at most: those of the least hashes.
 SAMPLE = 20_000
+#: Counts of so many suffixes are broadcast; more are joined by exchange.
+BROADCAST_SUFFIXES = 100_000
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 3, 32, 0.2, 1.0
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -74,6 +77,10 @@ class Model:
     seen: dict[str, tuple[float, float]]
     rate: float
 
+    def with_seen(self, seen: dict[str, tuple[float, float]]) -> Model:
+        """The model with these counts of suffixes and how many of each were blocked."""
+        return replace(self, seen={s: (float(np.log1p(k)), (b + 10 * self.rate) / (k + 10)) for s, (k, b) in seen.items()})
+
     def rows(self, urls: list[tuple[str, str, str]]) -> np.ndarray:
         none = (0.0, self.rate)
         return np.array([lexical(*u) + [x for s in suffixes(u[1]) for x in self.seen.get(s, none)] for u in urls], np.float64).reshape(len(urls), -1)
@@ -97,18 +104,20 @@ def _walk(bins: np.ndarray, trees: list) -> np.ndarray:
     return total
 
 
-def fit(urls: list[tuple[str, str, str]], blocked: np.ndarray) -> Model:
-    """Trees on labelled URLs (url, host, path); with labels of one kind only, their smoothed share."""
+def fit(urls: list[tuple[str, str, str]], blocked: np.ndarray, seen: dict[str, tuple[float, float]] | None = None) -> Model:
+    """Trees on labelled URLs (url, host, path); with labels of one kind only, their smoothed share.
+
+    seen: how often each suffix occurs and is blocked among all labelled URLs, where `urls` are only some of them.
+    """
     n, ones = len(urls), float(blocked.sum())
     rate = (ones + 0.5) / (n + 1.0)
-    seen: dict[str, list[float]] = {}
-    for u, y in zip(urls, blocked, strict=True):
-        for s in suffixes(u[1]):
-            at = seen.setdefault(s, [0.0, 0.0])
-            at[0] += 1
-            at[1] += y
-    stats = {s: (float(np.log1p(k)), (b + 10 * rate) / (k + 10)) for s, (k, b) in seen.items()}
-    model = Model(float(np.log(rate / (1 - rate))), [], [], stats, rate)
+    if seen is None:
+        seen = {}
+        for u, y in zip(urls, blocked, strict=True):
+            for s in suffixes(u[1]):
+                k, b = seen.get(s, (0.0, 0.0))
+                seen[s] = (k + 1, b + y)
+    model = Model(float(np.log(rate / (1 - rate))), [], [], {}, rate).with_seen(seen)
     if not 0 < ones < n:
         return model
     x = model.rows(urls)
@@ -158,15 +167,32 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None =
         known = parted.where(F.col("verdict").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
     else:
         known = labelled.where(F.col("blocked").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("int").alias("y"))
-    got = least_hashes(known.distinct(), ["url", "y"], sample).collect()
-    model = fit([(r.url, r.host, r.path) for r in got], np.array([r.y for r in got], np.float64))
+    known = known.distinct()
+    suffix = [F.substring_index("host", ".", -n) for n in (1, 2)]
+    counts = known.select(F.explode(F.array(*suffix)).alias("suffix"), "y").groupBy("suffix").agg(F.count("*").cast("double").alias("k"), F.sum("y").cast("double").alias("b"))
+    counts = Scratch(pages.sparkSession).table(counts, "suffixes")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_SUFFIXES else counts
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """The rows with how often the last one and two labels of their hosts occur and are blocked among all labelled URLs; null if never."""
+        for n, s in enumerate(suffix, 1):
+            of = counts.select(F.col("suffix").alias("__lk_s"), F.struct("k", "b").alias(f"__lk_{n}"))
+            rows = rows.join(of, s == F.col("__lk_s"), "left").drop("__lk_s")
+        return rows
+
+    def seen_of(hosts: list, *stats: list) -> dict[str, tuple[float, float]]:
+        return {s: (x["k"], x["b"]) for h, *own in zip(hosts, *stats, strict=True) for s, x in zip(suffixes(h), own, strict=True) if x is not None}
+
+    got = counted(least_hashes(known, ["url", "y"], sample)).orderBy(F.shiftrightunsigned(F.xxhash64("url", "y"), 1), "url", "y").collect()
+    seen = seen_of([r.host for r in got], [r["__lk_1"] for r in got], [r["__lk_2"] for r in got])
+    model = replace(fit([(r.url, r.host, r.path) for r in got], np.array([r.y for r in got], np.float64), seen), seen={})
     kind = pages.schema[id_col].dataType.simpleString()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = batch.to_pydict()
-            p = model.blocks(list(zip(of["url"], of["host"], of["path"], strict=True)))
+            p = model.with_seen(seen_of(of["host"], of["__lk_1"], of["__lk_2"])).blocks(list(zip(of["url"], of["host"], of["path"], strict=True)))
             said = [v or ("block" if x >= 0.5 else "allow") for v, x in zip(of["verdict"], p, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3, 4)), pa.array(said, pa.string()), pa.array(p)], names=[id_col, "host", "path", "rule", "verdict", "p_block"])
 
-    return parted.mapInArrow(decide, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, p_block double")
+    return counted(parted).mapInArrow(decide, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, p_block double")

@@ -126,3 +126,18 @@ def test_trees_learn_from_labelled_urls(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[400:])], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, {}, labelled).collect()}
     assert np.mean([(got[i] == "block") == b for i, (_, b) in enumerate(rows[400:])]) > 0.97
+
+
+def test_suffixes_are_counted_on_all_labelled_urls(spark, monkeypatch):
+    rows = [(f"http://h{i % 7}.{'bad' if i % 3 == 0 else 'good'}{i % 5}.org/{i}", int(i % 3 == 0)) for i in range(1200)]
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    told = []
+    fit = url_filter.fit
+    monkeypatch.setattr(url_filter, "fit", lambda *a: told.append(a) or fit(*a))
+    pages = spark.createDataFrame([(0, rows[0][0]), (1, "http://new.net/"), (2, None)], "page_id long, url string")
+    assert url_filter.judge(pages, {}, labelled, sample=40).count() == 3
+    monkeypatch.setattr(url_filter, "BROADCAST_SUFFIXES", 0)
+    assert url_filter.judge(pages, {}, labelled, sample=40).count() == 3
+    for urls, _, seen in told:
+        assert len(urls) == 40 and seen["org"] == (1200, 400)
+        assert all(seen[f"bad{k}.org"] == (80, 80) for k in range(5) if f"bad{k}.org" in seen) and any("bad" in s for s in seen)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Remembering, Scratch, blocks, hold, ship, texts
+from .common import Remembering, Scratch, blocks, drop_places, hold, placed, ship, texts
 
 LENGTH, STEP = 32, 16
 TERMS, SKETCH, RANK = 1 << 13, 128, 96
@@ -408,6 +408,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose ids no benchmark item is in, all columns."""
+    """The rows of `docs` whose ids no benchmark item is in, all columns. What goes is told by the places of rows: no text is exchanged."""
+    scratch = Scratch(docs.sparkSession)
+    rows = placed(docs, scratch)
     goes = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__lk_id")).distinct()
-    return docs.join(goes.hint("merge"), F.col(id_col).eqNullSafe(F.col("__lk_id")), "left_anti")
+    return drop_places(rows, rows.join(goes, F.col(id_col).eqNullSafe(F.col("__lk_id")), "left_semi"), scratch)

@@ -55,8 +55,9 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("bigint")).otherwise(let(words, count))
 
 
-def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """id, t (xxhash64 of the text), the base statistics, base_failed, the vector u (array<double>), lang, source of every row."""
+def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool = False) -> DataFrame:
+    """id, t (xxhash64 of the text), the base statistics, base_failed, the vector u (array<double>), lang, source of every row; and, if
+    `whole`, the row itself as the struct doc."""
     text = F.coalesce(text_col, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     counted = docs.select(
@@ -68,6 +69,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("bigint").alias("n_capitals"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        *([F.struct(*docs.columns).alias("doc")] if whole else []),
     )
     counted = counted.select(
         "id", "t", "lang", "source",
@@ -76,6 +78,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
         "n_symbols", "n_dup_lines",
         repeat_words(F.col("words")).alias("n_repeat_words"),
         "n_capitals",
+        *(["doc"] if whole else []),
     )
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     logs = [
@@ -158,6 +161,16 @@ def estimates(rows: DataFrame, scratch: Scratch, many: int) -> DataFrame:
     return now
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool = False) -> DataFrame:
+    """The statistics of every row, `distance` and `kept`. The texts are read once; the rest works on the statistics in the shared folder."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(statistics(docs, id_col, text_col, lang_col, source_col, whole), "statistics")
+    grouped, many = _grouped(rows, scratch)
+    found = estimates(grouped.where("not base_failed").select("g", "u"), scratch, many)
+    scored = grouped.join(F.broadcast(found) if many <= BROADCAST_GROUPS else found, "g", "left").withColumn("distance", _distance(F.col("u")))
+    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False)))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of `docs`: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, t.
 
@@ -165,20 +178,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text. A null text has no words and fails the base rules. Null languages and sources are groups like others. A group
     of under LEAST_GROUP passing documents is pooled with its language's small groups, and these, if still under it, with
     all such. Repeated ids and rows each count. Where no document passes, distance is null. Columns of other names are
-    not read. The texts are read once; the rest works on the statistics in the shared folder.
+    not read.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
-    grouped, many = _grouped(rows, scratch)
-    found = estimates(grouped.where("not base_failed").select("g", "u"), scratch, many)
-    scored = grouped.join(F.broadcast(found) if many <= BROADCAST_GROUPS else found, "g", "left").withColumn("distance", _distance(F.col("u")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "t")
+    judged = _judged(docs, id_col, text_col, lang_col, source_col)
+    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "t")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of `docs` that the rules keep, all columns; rows of equal id and text that differ in language or source go if any is rejected."""
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.table(quality_rules(docs, id_col, text_col, lang_col, source_col).withColumnRenamed(id_col, "__lk_id").select("__lk_id", F.col("t").alias("__lk_t"), "kept"), "verdicts")
-    goes = found.where("not kept").select("__lk_id", "__lk_t").distinct()
-    return docs.join(goes.hint("merge"), F.col(id_col).eqNullSafe(F.col("__lk_id")) & (F.xxhash64(text_col) == F.col("__lk_t")), "left_anti")
+    """The rows of `docs` that the rules keep, all columns. Rows go to the shared folder beside their statistics, so no text is exchanged."""
+    judged = _judged(docs, id_col, text_col, lang_col, source_col, whole=True)
+    return judged.where("kept").select(*(F.col("doc")[c].alias(c) for c in docs.columns))

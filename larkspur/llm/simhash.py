@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, ship
+from .common import PLACE, Scratch, blocks, drop_places, placed, ship
 from .components import components
 
 BITS, BYTES, DIFFER = 64, 8, 2
@@ -51,17 +51,18 @@ def fingerprint(data: bytes, words_in_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
-    """(id, fp bigint) of every row; a null text is one without words."""
+    """(id, fp bigint) of every row, and its place if `docs` has places; a null text is one without words."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    place = [c for c in PLACE if c in docs.columns]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, 1):
                 made = [fingerprint(x or b"", words_in_shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), *batch.columns[2:]], names=["id", "fp", *place])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(make, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col), F.col(text_col), *place).mapInArrow(make, ", ".join([f"id {kind}, fp bigint", *(f"{c} bigint" for c in place)]))
 
 
 def shared_bytes(x: Column, y: Column) -> Column:
@@ -91,6 +92,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return near.union(stars).distinct()
 
 
+def _labelled(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
+    """`fingerprints` of every row, and component_id."""
+    rows = scratch.table(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
+    first = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    roots = scratch.table(components(links(rows.select("fp").distinct()), scratch), "roots")
+    labelled = first.join(roots, F.col("fp") == F.col("node"))
+    least = labelled.groupBy("root").agg(F.min("first").alias("least"))
+    # a table of its own, so that adaptive execution can split the rows of a very frequent fingerprint among tasks
+    label = first.join(roots.join(least, "root").select(F.col("node").alias("fp"), "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return rows.join(scratch.table(label, "labels"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
     """One row per row of `docs`: id, fingerprint (16 hex digits), component_id (the least id that links reach, itself included).
 
@@ -100,30 +113,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are read once; the join of rows to fingerprints is left to adaptive execution, which splits a fingerprint that
     holds a large share of the rows.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = scratch.table(components(links(rows.select("fp").distinct()), scratch), "roots")
-    labelled = first.join(roots, F.col("fp") == F.col("node"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("least"))
-    # a table of its own, so that adaptive execution can split the rows of a very frequent fingerprint among tasks
-    label = first.join(roots.join(least, "root").select(F.col("node").alias("fp"), "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    label = scratch.table(label, "labels")
-    return rows.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _labelled(docs.select(id_col, text_col), Scratch(docs.sparkSession), id_col, text_col, words_in_shingle)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
     """The rows of `docs` that stay when one of each component does: that of the least id (one of them, if rows share it).
 
-    Documents whose ids are null stay if nothing with an id is near them. All columns are kept.
+    Documents whose ids are null stay if nothing with an id is near them. All columns are kept. What goes is told by
+    the places of rows: no text is exchanged.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.table(near_duplicates(docs, id_col, text_col, words_in_shingle).withColumnRenamed(id_col, "id"), "near")
-    goes = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__lk_id")).distinct()
-    left = docs.join(goes.hint("merge"), F.col(id_col).eqNullSafe(F.col("__lk_id")), "left_anti")
-    kept = found.where(F.col("id") == F.col("component_id"))
-    again = kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__lk_again"))
-    if again.isEmpty():
-        return left
-    once = left.join(again, F.col(id_col) == F.col("__lk_again"), "left_semi").dropDuplicates([id_col])
-    return left.join(again, F.col(id_col) == F.col("__lk_again"), "left_anti").unionByName(once)
+    rows = placed(docs, scratch)
+    found = scratch.table(_labelled(rows, scratch, id_col, text_col, words_in_shingle), "near")
+    place = F.struct(*PLACE)
+    # a row for each component, in a table of its own, so that adaptive execution can split the rows of an id that very many share
+    first = scratch.table(found.where("id = component_id").groupBy("component_id").agg(F.min(place).alias("first")), "first")
+    again = found.where("id = component_id").join(first, "component_id").where(place > F.col("first"))
+    goes = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(*PLACE).union(again.select(*PLACE))
+    return drop_places(rows, goes, scratch)

@@ -48,7 +48,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each one's rows are written to the shared folder and read again as the next one's."""
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = len(Scratch.opened)
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        Scratch.end_since(mark)  # what the stage itself kept, and what it read
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

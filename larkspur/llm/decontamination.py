@@ -41,7 +41,7 @@ COMMON = 0.05
 #: Benchmark words that are searched for at once; a larger benchmark takes several turns.
 BLOCK_WORDS = 400_000
 #: Words that a worker remembers; beyond that those not seen among as many new ones are forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -379,7 +379,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def tokenise(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
             read = runs_for(key, sent.value.numbers).read
             for whole in batches:
-                for batch in blocks(whole, 1):
+                for batch in blocks(whole, 1, 4 << 20):
                     found = [read(x) for x in texts(batch, 1)]
                     yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], names=["id", "terms", "numbers"])
 

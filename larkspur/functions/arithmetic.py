@@ -13,9 +13,8 @@ OPEN_SCALE = 16
 
 
 def int_div(a: Column, b: Column, kind: str = "int") -> Column:
-    """Integer division towards zero, in the operands' type; a zero divisor is an error."""
-    whole = F.floor(F.abs(a.cast("decimal(20,0)")) / F.abs(b.cast("decimal(20,0)")))
-    return F.when((a < 0) != (b < 0), -whole).otherwise(whole).cast(kind)
+    """Integer division towards zero, in the operands' type; a zero divisor is an error, and so is the least integer by -1."""
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint")).cast(kind)
 
 
 def shift_left(a: Column, n: Column | int, kind: str = "int") -> Column:

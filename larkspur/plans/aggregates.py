@@ -58,22 +58,32 @@ def sum_float(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(sum_float4(F.col("l_quantity")).alias("s"))
 
 
-@query("avg_int_exact", "SELECT l_returnflag, CAST(round(CAST(avg(l_linenumber) AS DOUBLE), 8) AS DOUBLE) AS a FROM lineitem GROUP BY l_returnflag")
+def digits(made):
+    """A numeric of scale 16 as the integer of all its digits."""
+    return F.regexp_replace(made.cast("string"), r"\.", "").cast("decimal(38,0)")
+
+
+def average(total, n, scale=0):
+    """SQL of an average in units of 10^-16, halves away from zero, from a sum in units of 10^-scale, in integers."""
+    return f"CAST((2 * {total} * CAST({10 ** (16 - scale)} AS HUGEINT) + {n}) // (2 * {n}) AS DECIMAL(38,0))"
+
+
+@query("avg_int_exact", f"SELECT l_returnflag, {average('CAST(sum(l_linenumber) AS HUGEINT)', 'count(*)')} AS a FROM lineitem GROUP BY l_returnflag")
 def avg_int_exact(spark, sf_dir):
     made = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(avg_exact(F.col("l_linenumber")).alias("a"))
-    return made.select("l_returnflag", F.round(F.col("a").cast("double"), 8).alias("a"))
+    return made.select("l_returnflag", digits(F.col("a")).alias("a"))
 
 
-@query("avg_decimal_exact", "SELECT l_returnflag, round(avg(l_extendedprice), 4) AS a FROM lineitem GROUP BY l_returnflag")
+@query("avg_decimal_exact", f"SELECT l_returnflag, {average('CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS HUGEINT)) AS HUGEINT)', 'count(*)', 2)} AS a FROM lineitem GROUP BY l_returnflag")
 def avg_decimal_exact(spark, sf_dir):
     made = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(avg_exact(F.col("l_extendedprice"), 2).alias("a"))
-    return made.select("l_returnflag", F.round(F.col("a").cast("double"), 4).alias("a"))
+    return made.select("l_returnflag", digits(F.col("a")).alias("a"))
 
 
-@query("avg_distinct", "SELECT l_returnflag, round(avg(DISTINCT l_linenumber), 8) AS a FROM lineitem GROUP BY l_returnflag")
+@query("avg_distinct", f"SELECT l_returnflag, {average('CAST(sum(DISTINCT l_linenumber) AS HUGEINT)', 'count(DISTINCT l_linenumber)')} AS a FROM lineitem GROUP BY l_returnflag")
 def avg_distinct(spark, sf_dir):
     made = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(avg_exact(F.col("l_linenumber"), distinct=True).alias("a"))
-    return made.select("l_returnflag", F.round(F.col("a").cast("double"), 8).alias("a"))
+    return made.select("l_returnflag", digits(F.col("a")).alias("a"))
 
 
 @query("avg_interval")

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bpchar, bpchar_key
 from ..sources.tables import tables
-from .registry import query, sql, whole
+from .registry import query, sql
 
 #: Customers and orders that do not all meet: one side has keys that the other lacks, and null keys.
-C = "(SELECT NULLIF(c_custkey, 9) AS ck, c_nationkey AS nk FROM {customer} WHERE c_custkey < 60) AS c"
-O = "(SELECT o_orderkey AS ok, NULLIF(o_custkey + 30, 40) AS ock, o_orderstatus AS st FROM {orders} WHERE o_custkey < 50) AS o"
+C = "(SELECT NULLIF(c_custkey, 9) AS ck, c_nationkey AS nk FROM {customer}) AS c"
+O = "(SELECT o_orderkey AS ok, NULLIF(o_custkey + 30, 40) AS ock, o_orderstatus AS st FROM {orders}) AS o"
 
 sql("inner_equi", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_acctbal > 8000")
 sql("inner_equi_residual", "SELECT l_orderkey, l_linenumber, o_orderkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_quantity > 48")
@@ -19,8 +19,6 @@ sql("left", f"SELECT ck, ok FROM {C} LEFT JOIN {O} ON ck = ock")
 sql("left_on_residual", f"SELECT ck, ok FROM {C} LEFT JOIN {O} ON ck = ock AND st = 'F'")
 sql("right", f"SELECT ck, ok FROM {C} RIGHT JOIN {O} ON ck = ock")
 sql("full", f"SELECT ck, ok FROM {C} FULL JOIN {O} ON ck = ock")
-for _name in ("left", "left_on_residual", "right", "full"):
-    whole(_name, " WHERE c_custkey < 60", " WHERE o_custkey < 50")
 sql("full_theta", "SELECT a.r_regionkey AS x, n_nationkey AS y FROM {region} AS a FULL JOIN {nation} ON a.r_regionkey > n_regionkey + 2")
 sql("full_on_false", "SELECT r_regionkey AS x, n_nationkey AS y FROM {region} FULL JOIN {nation} ON 1 = 0")
 sql("using", "SELECT k, r_name, n_name FROM (SELECT r_regionkey AS k, r_name FROM {region}) AS r JOIN (SELECT n_regionkey AS k, n_name FROM {nation}) AS n USING (k)")
@@ -32,7 +30,7 @@ sql("semi_in_correlated", "SELECT o_orderkey FROM {orders} WHERE o_orderkey IN (
 sql("semi_in_uncorrelated", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49)")
 sql("anti_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 sql("anti_not_in", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 40)")
-sql("anti_not_in_with_null", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT NULLIF(l_partkey, 1) FROM {lineitem} WHERE l_partkey < 10)")
+sql("anti_not_in_with_null", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT NULLIF(l_partkey, 1) FROM {lineitem})")
 sql("scalar_subquery_where", "SELECT s_suppkey FROM {supplier} WHERE CAST(s_acctbal AS DECIMAL(18,2)) > (SELECT CAST(max(c_acctbal) AS DECIMAL(18,2)) - 1000 FROM {customer})")
 sql("scalar_subquery_select", "SELECT r_regionkey, (SELECT CAST(count(*) AS BIGINT) FROM {nation}) AS n FROM {region}")
 sql("scalar_subquery_having", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY o_orderstatus HAVING count(*) > (SELECT count(*) / 2 FROM {customer})")

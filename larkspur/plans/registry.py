@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +12,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
-_texts: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -33,22 +31,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def sql(name: str, text: str, oracle: str | None = None) -> None:
     """Registers a statement with tables written {name}; the oracle is the same statement unless given."""
     query(name, bare(text) if oracle is None else oracle)(lambda spark, sf_dir: statement(spark, sf_dir, text))
-    _texts[name] = text
-
-
-def whole(name: str, *filters: str, **rows: Query) -> None:
-    """Registers NAME_whole: the query and its SQL without `filters`, over whole tables. `rows` replace the arguments of a query that is no statement."""
-
-    def less(text: str) -> str:
-        for x in filters:
-            if x not in text:
-                raise ValueError(f"{name} has no{x}")
-            text = text.replace(x, "")
-        return text
-
-    text = less(_texts[name]) if name in _texts else None
-    run = partial(_queries[name], **rows) if text is None else lambda spark, sf_dir: statement(spark, sf_dir, text)
-    query(f"{name}_whole", less(_oracle[name]) if name in _oracle else None)(run)
 
 
 def queries() -> dict[str, Query]:

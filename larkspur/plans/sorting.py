@@ -1,13 +1,11 @@
 """Sort, limit, distinct, set operations."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions.ordering import asc, desc
 from ..operators.relational import distinct_on, limit
 from ..sources.tables import table
-from .registry import query, sql, whole
+from .registry import query, sql
 
 sql("limit", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 25")
 sql("limit_offset", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_custkey DESC NULLS FIRST, o_orderkey LIMIT 10 OFFSET 30")
@@ -16,26 +14,18 @@ sql("topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice
 sql("distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}")
 sql("union_all", "SELECT n_nationkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region} UNION ALL SELECT n_regionkey FROM {nation}")
 sql("union_distinct", "SELECT n_regionkey AS k FROM {nation} UNION SELECT r_regionkey FROM {region}")
-sql("union_type_unify", "SELECT CAST(k AS DOUBLE) AS k FROM (SELECT n_nationkey AS k FROM {nation} UNION SELECT CAST(c_acctbal AS DECIMAL(12,2)) FROM {customer} WHERE c_custkey < 50) AS u")
-whole("union_type_unify", " WHERE c_custkey < 50")
-
-
-def _low_orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey < 900")
+sql("union_type_unify", "SELECT CAST(k AS DOUBLE) AS k FROM (SELECT n_nationkey AS k FROM {nation} UNION SELECT CAST(c_acctbal AS DECIMAL(12,2)) FROM {customer}) AS u")
 
 
-@query("order_multi_nulls", "SELECT k, a, CAST(row_number() OVER (ORDER BY a DESC NULLS FIRST, k ASC NULLS LAST) AS BIGINT) AS place FROM (SELECT o_orderkey AS k, NULLIF(o_custkey % 7, 3) AS a FROM orders WHERE o_orderkey < 900) AS t")
-def order_multi_nulls(spark, sf_dir, rows=_low_orders):
+@query("order_multi_nulls", "SELECT k, a, CAST(row_number() OVER (ORDER BY a DESC NULLS FIRST, k ASC NULLS LAST) AS BIGINT) AS place FROM (SELECT o_orderkey AS k, NULLIF(o_custkey % 7, 3) AS a FROM orders) AS t")
+def order_multi_nulls(spark, sf_dir):
     """The default order of a descending key: nulls first. Places tell the order that a comparison of sets would not see."""
-    rows = rows(spark, sf_dir).select(F.col("o_orderkey").alias("k"), F.nullif(F.col("o_custkey") % 7, F.lit(3).cast("bigint")).alias("a"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.nullif(F.col("o_custkey") % 7, F.lit(3).cast("bigint")).alias("a"))
     from ..operators.windows import window
 
     return rows.withColumn("place", F.row_number().over(window(order=[desc("a"), asc("k")])).cast("bigint")).orderBy(desc("a"), asc("k"))
 
 
-whole("order_multi_nulls", " WHERE o_orderkey < 900", rows=partial(table, name="orders"))
-
-
 @query("order_hidden_key", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
 def order_hidden_key(spark, sf_dir):
     return table(spark, sf_dir, "customer").orderBy(desc("c_acctbal"), asc("c_custkey")).limit(20).select("c_name")

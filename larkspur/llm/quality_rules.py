@@ -2,13 +2,20 @@
 
 Base statistics of a text are turned into a vector U of five: symbols per word, word length, share of repeated words,
 repeated lines and share of capitals, each on a log scale and in units of SPREAD, the least spread that counts as one.
-For each group of language and source the minimum-covariance-determinant estimate gives a centre and a scatter: from
-the medians on, concentration steps take the COVERAGE part of the vectors that are nearest (Mahalanobis) to the last
-estimate, and estimate anew from these. The unit matrix is added to each scatter, so that a statistic that is constant
-in a group has spread 1 and small groups have an inverse. Vectors whose squared distance is over CUTOFF are rejected.
 
-Medians and quantiles of distances are taken on a grid, from counts per grid value: exact there, mergeable, and of a
-size that does not grow with a group. Documents that fail the base rules are in no estimate.
+Each language and source, each language, and the whole corpus get a minimum-covariance-determinant estimate of centre
+and scatter. From each of three deterministic starts around the medians (scatters of clipped vectors, of spatial signs
+and of hyperbolic tangents), concentration steps take the COVERAGE part of the vectors that are nearest (Mahalanobis)
+to the last estimate and estimate anew from these, until the determinant changes no more; of the three ends that of the
+least determinant stays. The vectors within INNER of it give the re-weighted estimate. The unit matrix is added to each
+scatter, so that a statistic that is constant in a group has spread 1 and small groups have an inverse.
+
+A group of n vectors is judged by n parts of its own estimate and SHRINK parts of its language's, which is mixed with
+the corpus's in the same way: small groups lean on larger ones by degrees, at every size. Vectors whose squared distance
+is over CUTOFF are rejected.
+
+Medians and quantiles of distances are taken on a grid, from counts per grid value: mergeable, and of a size that does
+not grow with a group. Documents that fail the base rules are in no estimate.
 """
 
 from __future__ import annotations
@@ -23,32 +30,41 @@ NAMES = ["symbols", "length", "repeats", "lines", "capitals"]
 SPREAD = [0.4, 0.05, 0.6, 0.5, 0.15]
 P = len(NAMES)
 COVERAGE = 0.75
-STEPS = 4
+STARTS = ("clipped", "signs", "tanh")
+#: Concentration steps at most; the determinant has settled long before in all that was seen.
+MOST_STEPS = 30
 #: c of the estimate at this coverage: 0.75 / P(chi2 with 7 degrees < the 0.75 quantile of chi2 with 5).
 CONSISTENT = 1.41
+#: The 0.975 quantile of chi2 with 5 degrees of freedom, and c there.
+INNER, INNER_CONSISTENT = 12.83, 1.055
 #: The 0.9999 quantile of chi2 with 5 degrees of freedom.
 CUTOFF = 25.74
-#: Groups of fewer documents are pooled: first within their language, then over all.
-LEAST_GROUP = 40
-#: Estimates of so many groups (under 200 bytes each) are broadcast; more are joined by exchange.
+#: Vectors of its language that a group is mixed with, and of the corpus that a language is mixed with.
+SHRINK = 40
+#: Estimates of so many groups (under 300 bytes each) are broadcast; more are joined by exchange.
 BROADCAST_GROUPS = 20_000
-GRID, DISTANCE_GRID, DISTANCE_TOP = 8, 16, 640
+GRID, DISTANCE_GRID, DISTANCE_TOP = 8, 64, 2560
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def repeat_words(words: Column) -> Column:
     """Words in 3-word windows that the array of words holds twice or more.
 
     A window is a number: its hash above, its place below in as many bits as places need. Sorted, equal windows are
-    neighbours; each one's place then counts the words up to the next such place, 3 at most.
+    neighbours, and neighbours of equal hashes are compared by their words; each one's place then counts the words up to
+    the next such place, 3 at most.
     """
 
     def count(w: Column) -> Column:
         bits = F.ceil(F.log2(F.size(w).cast("double"))).cast("int")
         top = lambda x: F.call_function("shiftright", x, bits)
         windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint")))
-        same = lambda s, x, i: F.coalesce(top(x) == top(F.get(s, i)), F.lit(False))
-        twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1)))
         mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+        word = lambda x, k: F.get(w, place(x) + k)
+        alike = lambda x, y: (top(x) == top(y)) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+        same = lambda s, x, i: F.coalesce(alike(x, F.get(s, i)), F.lit(False))
+        twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1)))
         places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
         return let(places, lambda q: F.aggregate(F.transform(q, lambda x, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(q, i + 1) - x, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
@@ -92,16 +108,10 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
     return counted.select("*", failed.alias("base_failed"), F.array(*(x / s for x, s in zip(logs, SPREAD, strict=True))).alias("u")).drop("n_capitals")
 
 
-def _grouped(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """The rows with their group g, and the number of pairs of language and source."""
-    own = F.to_json(F.struct("lang", "source"))
-    sizes = rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
-    pooled = F.sum(F.when(F.col("n") < LEAST_GROUP, F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))
-    g = F.when(F.col("n") >= LEAST_GROUP, own).when(pooled >= LEAST_GROUP, F.to_json(F.struct("lang"))).otherwise(F.lit("all"))
-    groups = scratch.table(sizes.select(F.to_json(F.struct("lang", "source")).alias("key"), g.alias("g"), "n"), "groups")
-    many = groups.count()
-    small = F.broadcast(groups) if many <= BROADCAST_GROUPS else groups
-    return rows.withColumn("key", own).join(small.select("key", "g"), "key").drop("key", "lang", "source"), many
+def _key(level: str) -> Column:
+    """The group of a row at a level: own (language and source), lang or all."""
+    parts = {"own": ["lang", "source"], "lang": ["lang"], "all": []}[level]
+    return F.xxhash64(F.lit(level), *(x for c in parts for x in (F.col(c), F.col(c).isNull())))
 
 
 def _distance(u: Column) -> Column:
@@ -111,20 +121,29 @@ def _distance(u: Column) -> Column:
     return sum((x * x for x in parts[1:]), parts[0] * parts[0])
 
 
-def _whitening(moments: DataFrame) -> DataFrame:
-    """(g, m, w) from n, sums s0.. and sums of products p00, p10, ..: the centre and the inverse Cholesky factor of the scatter."""
-    frame = moments.select("g", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), "n", *(f"p{i}{j}" for i in range(P) for j in range(i + 1)))
-    cov = {(i, j): CONSISTENT * F.greatest(F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0 if i == j else float("-inf"))) + (1.0 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
-    frame = frame.select("g", *(f"m{i}" for i in range(P)), *(x.alias(f"c{i}{j}") for (i, j), x in cov.items()))
+def _sums(x: Column) -> list[Column]:
+    """n, sums s0.. and sums of products p00, p10, .. of vectors."""
+    return [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in PAIRS)]
+
+
+def _moments(sums: DataFrame, factor: float, *keys: str) -> DataFrame:
+    """keys, n, the mean m0.. and the scatter c00, c10, .., the covariance times `factor`."""
+    mean = sums.select(*keys, "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *((F.col(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i, j in PAIRS))
+    scatter = {(i, j): factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) for i, j in PAIRS}
+    return mean.select(*keys, "n", *(f"m{i}" for i in range(P)), *((F.greatest(x, F.lit(0.0)) if i == j else x).alias(f"c{i}{j}") for (i, j), x in scatter.items()))
+
+
+def _whitening(frame: DataFrame, *keys: str) -> DataFrame:
+    """keys, the centre m, the inverse Cholesky factor w of the scatter and the unit matrix, and their determinant's logarithm."""
     for i in range(P):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            frame = frame.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+            rest = F.col(f"c{i}{j}") + (1.0 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            frame = frame.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
     for j in range(P):
         for i in range(j, P):
             rest = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
             frame = frame.withColumn(f"w{i}{j}", rest / F.col(f"l{i}{i}"))
-    return frame.select("g", F.array(*(f"m{i}" for i in range(P))).alias("m"), F.array(*(f"w{i}{j}" for i in range(P) for j in range(i + 1))).alias("w"))
+    return frame.select(*keys, F.array(*(f"m{i}" for i in range(P))).alias("m"), F.array(*(f"w{i}{j}" for i, j in PAIRS)).alias("w"), (2 * sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))).alias("det"))
 
 
 def _at_share(counts: DataFrame, keys: list[str], grid: str, share: float) -> DataFrame:
@@ -135,39 +154,86 @@ def _at_share(counts: DataFrame, keys: list[str], grid: str, share: float) -> Da
 
 
 def _medians(rows: DataFrame) -> DataFrame:
-    """(g, m, w) to begin with: medians on the grid, and 1 + 1.4826 times the median distance from them as spread."""
+    """(g, v, d): medians on the grid, and the spread, 1 and 1.4826 times the median distance from them."""
     long = rows.select("g", F.posexplode("u").alias("k", "x"))
     counts = long.groupBy("g", "k", F.round(F.col("x") * GRID).alias("x")).agg(F.count("*").alias("n"))
     middle = _at_share(counts, ["g", "k"], "x", 0.5).withColumnRenamed("x", "v")
     away = counts.join(middle, ["g", "k"]).groupBy("g", "k", "v", F.abs(F.col("x") - F.col("v")).alias("d")).agg(F.sum("n").alias("n"))
     spread = _at_share(away, ["g", "k", "v"], "d", 0.5).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "v", "d"))).alias("all"))
-    one = lambda i: 1.0 / F.sqrt(1.0 + F.pow(1.4826 * F.col("all")[i]["d"] / GRID, F.lit(2.0)))
-    factor = [one(i) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)]
-    return spread.select("g", F.array(*(F.col("all")[i]["v"] / GRID for i in range(P))).alias("m"), F.array(*factor).alias("w"))
-
-
-def estimates(rows: DataFrame, scratch: Scratch, many: int) -> DataFrame:
-    """(g, m, w) of each group, after STEPS concentration steps over rows (g, u)."""
-    near = (lambda f: F.broadcast(f)) if many <= BROADCAST_GROUPS else (lambda f: f)
-    now = scratch.table(_medians(rows), "estimates")
-    for _ in range(STEPS):
-        far = F.least(F.floor(DISTANCE_GRID * F.log1p(_distance(F.col("u")))), F.lit(DISTANCE_TOP)).cast("int")
-        placed = rows.join(near(now), "g").select("g", "u", far.alias("far"))
-        within = _at_share(placed.groupBy("g", "far").agg(F.count("*").alias("n")), ["g"], "far", COVERAGE).withColumnRenamed("far", "edge")
-        chosen = rows.join(near(now), "g").select("g", "u", far.alias("far")).join(near(within), "g").where("far <= edge")
-        u = F.col("u")
-        sums = [F.sum(u[i]).alias(f"s{i}") for i in range(P)] + [F.sum(u[i] * u[j]).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)]
-        now = scratch.table(_whitening(chosen.groupBy("g").agg(F.count("*").alias("n"), *sums)), "estimates")
-    return now
+    wide = lambda x: F.sqrt(1.0 + F.pow(1.4826 * x["d"] / GRID, F.lit(2.0)))
+    return spread.select("g", F.transform("all", lambda x: x["v"] / GRID).alias("v"), F.transform("all", wide).alias("d"))
+
+
+def _starts(rows: DataFrame, near, scratch: Scratch) -> DataFrame:
+    """(g, start, m, w, det): around the medians, the scatter of the vectors in units of the spreads after each start's function."""
+    middles = scratch.table(_medians(rows), "medians")
+    z = F.transform("u", lambda x, i: (x - F.get("v", i)) / F.get("d", i))
+    size = F.sqrt(F.aggregate("z", F.lit(1e-9), lambda a, x: a + x * x))
+    functions = [F.transform("z", lambda x: F.greatest(F.lit(-2.0), F.least(F.lit(2.0), x))), F.transform("z", lambda x: x * P**0.5 / size), F.transform("z", F.tanh)]
+    changed = rows.join(near(middles), "g").select("g", z.alias("z"))
+    changed = changed.select("g", F.explode(F.array(*(F.struct(F.lit(name).alias("start"), f.alias("f")) for name, f in zip(STARTS, functions, strict=True)))).alias("x")).select("g", "x.start", "x.f")
+    found = _moments(changed.groupBy("g", "start").agg(*_sums(F.col("f"))), 1.0, "g", "start").join(near(middles), "g")
+    scaled = found.select("g", "start", *(F.col("v")[i].alias(f"m{i}") for i in range(P)), *((F.col(f"c{i}{j}") * F.col("d")[i] * F.col("d")[j]).alias(f"c{i}{j}") for i, j in PAIRS))
+    return scratch.table(_whitening(scaled, "g", "start"), "starts")
+
+
+def _far(frame: DataFrame) -> Column:
+    return F.least(F.floor(DISTANCE_GRID * F.log1p(_distance(F.col("u")))), F.lit(DISTANCE_TOP)).cast("int").alias("far")
+
+
+def least_determinant(rows: DataFrame, scratch: Scratch, near) -> DataFrame:
+    """(g, start, m, w, det) of each group of rows (g, u): the end of the concentration steps that has the least determinant."""
+    now, ends = _starts(rows, near, scratch), []
+    for step in range(MOST_STEPS):
+        placed = rows.join(near(now), "g").select("g", "start", "u", _far(rows))
+        edge = scratch.table(_at_share(placed.groupBy("g", "start", "far").agg(F.count("*").alias("n")), ["g", "start"], "far", COVERAGE).withColumnRenamed("far", "edge"), "edges")
+        inner = placed.join(near(edge), ["g", "start"]).where("far <= edge")
+        after = scratch.table(_whitening(_moments(inner.groupBy("g", "start").agg(*_sums(F.col("u"))), CONSISTENT, "g", "start"), "g", "start"), "estimates")
+        moved = after.join(near(now.select("g", "start", F.col("det").alias("was"))), ["g", "start"]).withColumn("still", F.abs(F.col("det") - F.col("was")) < 1e-9)
+        moved = scratch.table(moved.drop("was"), "moved")
+        ends.append(moved.where("still").drop("still"))
+        now = moved.where("not still").drop("still")
+        if now.isEmpty():
+            break
+    ends.append(now)
+    every = ends[0]
+    for end in ends[1:]:
+        every = every.unionAll(end)
+    best = every.groupBy("g").agg(F.min(F.struct("det", "start", "m", "w")).alias("x"))
+    return scratch.table(best.select("g", "x.start", "x.m", "x.w", "x.det"), "least")
+
+
+def _mixed(own: str, other: str) -> list[Column]:
+    """The moments of n parts of one estimate and SHRINK parts of another; n is 0 where the first has none."""
+    n = F.coalesce(F.col(f"{own}.n"), F.lit(0)).cast("double")
+    share = n / (n + SHRINK)
+    a = lambda c: F.coalesce(F.col(f"{own}.{c}"), F.lit(0.0))
+    b = lambda c: F.col(f"{other}.{c}")
+    mean = [(share * a(f"m{i}") + (1 - share) * b(f"m{i}")).alias(f"m{i}") for i in range(P)]
+    return [*mean, *((share * a(f"c{i}{j}") + (1 - share) * b(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in PAIRS)]
+
+
+def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(own, m, w) of each language and source of rows (lang, source, u, base_failed), from those that do not fail."""
+    groups = scratch.table(rows.groupBy(_key("own").alias("own"), _key("lang").alias("lang"), _key("all").alias("all")).agg(F.count("*").alias("rows")), "groups")
+    near = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda f: f)
+    members = rows.where("not base_failed").select(F.explode(F.array(*map(_key, ("own", "lang", "all")))).alias("g"), "u")
+    least = least_determinant(members, scratch, near)
+    within = members.join(near(least), "g").where(_distance(F.col("u")) <= INNER)
+    found = scratch.table(_moments(within.groupBy("g").agg(*_sums(F.col("u"))), INNER_CONSISTENT, "g"), "moments")
+    langs = groups.select("lang", "all").distinct().alias("k").join(found.alias("o"), F.col("k.lang") == F.col("o.g"), "left").join(found.alias("t"), F.col("k.all") == F.col("t.g"))
+    langs = scratch.table(langs.select("k.lang", *_mixed("o", "t")), "languages")
+    own = groups.alias("k").join(found.alias("o"), F.col("k.own") == F.col("o.g"), "left").join(langs.alias("t"), F.col("k.lang") == F.col("t.lang"))
+    out = scratch.table(_whitening(own.select("k.own", *_mixed("o", "t")), "own"), "judges").drop("det")
+    return near(out)
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool = False) -> DataFrame:
     """The statistics of every row, `distance` and `kept`. The texts are read once; the rest works on the statistics in the shared folder."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(statistics(docs, id_col, text_col, lang_col, source_col, whole), "statistics")
-    grouped, many = _grouped(rows, scratch)
-    found = estimates(grouped.where("not base_failed").select("g", "u"), scratch, many)
-    scored = grouped.join(F.broadcast(found) if many <= BROADCAST_GROUPS else found, "g", "left").withColumn("distance", _distance(F.col("u")))
+    found = estimates(rows.select("lang", "source", "u", "base_failed"), scratch)
+    scored = rows.withColumn("own", _key("own")).join(found, "own", "left").withColumn("distance", _distance(F.col("u")))
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False)))
 
 
@@ -175,10 +241,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of `docs`: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, t.
 
     `distance` is the squared robust distance; kept: the base rules pass and it is at most CUTOFF. t is xxhash64 of the
-    text. A null text has no words and fails the base rules. Null languages and sources are groups like others. A group
-    of under LEAST_GROUP passing documents is pooled with its language's small groups, and these, if still under it, with
-    all such. Repeated ids and rows each count. Where no document passes, distance is null. Columns of other names are
-    not read.
+    text. A null text has no words and fails the base rules. Null languages and sources are groups like others. Repeated
+    ids and rows each count. Where no document passes, distance is null. Columns of other names are not read.
     """
     judged = _judged(docs, id_col, text_col, lang_col, source_col)
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "t")

@@ -4,11 +4,13 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 from larkspur.llm import quality_rules as q
+from larkspur.llm.common import Scratch
 
 SCHEMA = "kept string, doc_id long, text string, lang string, source string, w string"
 
@@ -40,23 +42,60 @@ def half_up(x):
     return np.sign(x) * np.floor(np.abs(x) + 0.5)
 
 
-def estimate(u):
+def scatter(u, factor):
+    m = u.mean(axis=0)
+    return m, factor * (u.T @ u / len(u) - np.outer(m, m))
+
+
+def starts(u):
     grid = half_up(u * q.GRID)
-    m = np.array([at_share(grid[:, k], 0.5) for k in range(q.P)])
-    d = np.array([at_share(np.abs(grid[:, k] - m[k]), 0.5) for k in range(q.P)])
-    m, s = m / q.GRID, np.diag(1 + (1.4826 * d / q.GRID) ** 2)
-    for _ in range(q.STEPS):
-        far = np.floor(q.DISTANCE_GRID * np.log1p(distance(u, m, s))).clip(max=q.DISTANCE_TOP)
-        near = u[far <= at_share(far, q.COVERAGE)]
-        m = near.mean(axis=0)
-        s = q.CONSISTENT * (near.T @ near / len(near) - np.outer(m, m)) + np.eye(q.P)
-    return m, s
+    v = np.array([at_share(grid[:, k], 0.5) for k in range(q.P)])
+    d = np.sqrt(1 + (1.4826 * np.array([at_share(np.abs(grid[:, k] - v[k]), 0.5) for k in range(q.P)]) / q.GRID) ** 2)
+    z = (u - v / q.GRID) / d
+    for f in (z.clip(-2, 2), z * q.P**0.5 / np.sqrt((z**2).sum(axis=1, keepdims=True) + 1e-9), np.tanh(z)):
+        yield v / q.GRID, scatter(f, 1.0)[1] * np.outer(d, d)
+
+
+def least(u):
+    """Centre and scatter of the least determinant, by steps until it settles."""
+    ends = []
+    for m, s in starts(u):
+        was = None
+        while was is None or abs(np.linalg.slogdet(s + np.eye(q.P))[1] - was) >= 1e-9:
+            was = np.linalg.slogdet(s + np.eye(q.P))[1]
+            far = np.floor(q.DISTANCE_GRID * np.log1p(distance(u, m, s + np.eye(q.P)))).clip(max=q.DISTANCE_TOP)
+            m, s = scatter(u[far <= at_share(far, q.COVERAGE)], q.CONSISTENT)
+        ends.append((np.linalg.slogdet(s + np.eye(q.P))[1], m, s))
+    return min(ends, key=lambda e: e[0])
+
+
+def estimate(u):
+    _, m, s = least(u)
+    inner = u[distance(u, m, s + np.eye(q.P)) <= q.INNER]
+    return len(inner), *scatter(inner, q.INNER_CONSISTENT)
+
+
+def mixed(one, other):
+    n, m, s = one
+    share = n / (n + q.SHRINK)
+    return n, share * m + (1 - share) * other[1], share * s + (1 - share) * other[2]
 
 
 def distance(u, m, s):
     return np.einsum("ij,jk,ik->i", u - m, np.linalg.inv(s), u - m)
 
 
+def test_least_determinant_of_all_subsets(spark):
+    """Small groups, two of whose ten vectors lie apart: the ends against every subset of eight."""
+    rng = np.random.default_rng(5)
+    groups = {g: np.vstack([rng.normal(0, 1.5, (8, q.P)), rng.normal(rng.choice([-9, 9], q.P), 1, (2, q.P))]) for g in range(25)}
+    rows = spark.createDataFrame([(g, u.tolist()) for g, us in groups.items() for u in us], "g long, u array<double>")
+    got = {r.g: r.det for r in q.least_determinant(rows, Scratch(spark), lambda f: f).collect()}
+    for g, u in groups.items():
+        every = min(np.linalg.slogdet(scatter(u[list(k)], q.CONSISTENT)[1] + np.eye(q.P))[1] for k in combinations(range(10), 8))
+        assert got[g] == pytest.approx(every, abs=1e-6)
+
+
 def test_against_plain_version(spark):
     random.seed(6)
     words = ["the", "ring", "of", "Éa", "tion", "shx", "and", "er.", "wh", "ouable", "x|y", "#"]
@@ -71,20 +110,17 @@ def test_against_plain_version(spark):
     assert len(got) == len(rows)
     want = {(r[1], (r[2] or "")): base(r[2]) for r in rows}
     assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted((str(r[1]), *want[r[1], r[2] or ""]) for r in rows)
-    sizes, langs, members = Counter(), Counter(), defaultdict(list)
     passed = [r for r in rows if base(r[2])[0] >= 50 and 100 * base(r[2])[4] <= 50 * base(r[2])[0]]
+    members = defaultdict(list)
     for r in passed:
-        sizes[r[3], r[4]] += 1
-    for key, n in sizes.items():
-        langs[key[0]] += n if n < q.LEAST_GROUP else 0
-    group = lambda r: (r[3], r[4]) if sizes[r[3], r[4]] >= q.LEAST_GROUP else (r[3],) if langs[r[3]] >= q.LEAST_GROUP else ()
-    for r in passed:
-        members[group(r)].append(vector(r[2]))
+        for g in ((r[3], r[4]), (r[3],), ()):
+            members[g].append(vector(r[2]))
     found = {g: estimate(np.array(u)) for g, u in members.items()}
-    assert len(found) > 1
+    assert len(found) > 6
     by_id = {r.doc_id: r for r in got}
     for r in passed:
-        d = distance(vector(r[2])[None], *found[group(r)])[0]
+        _, m, s = mixed(found[r[3], r[4]], mixed(found[r[3],], found[()]))
+        d = distance(vector(r[2])[None], m, s + np.eye(q.P))[0]
         assert by_id[r[1]].distance == pytest.approx(d, rel=1e-6)
         assert by_id[r[1]].kept == (d <= q.CUTOFF)
     assert not any(r.kept for r in got if r.base_failed)

@@ -1,9 +1,14 @@
 """URL rules, and gradient-boosted trees on lexical features for URLs that no rule fits.
 
-Rules name a host (with its subdomains) and the beginning of a path; the longest that fits decides. The URLs that rules
-decide, or a table of labelled ones, train the trees: lengths, depth, shares of digits and other signs, entropy,
-parameters, and for the last and last two labels of the host how often they were seen and blocked, counted on all
-labelled URLs, also where the trees are fitted on a sample.
+Rules name a host (with its subdomains) and the beginning of a path; the longest that fits decides. Trees judge the
+others by lengths, depth, shares of digits and other signs, entropy, parameters, and for the last and last two labels
+of the host how often they were seen and blocked, counted on all labelled URLs, also where the trees are fitted on a
+sample. A URL that the trees are fitted on has these counts without those of its own part of the hosts (one of FOLDS),
+so that no label is among its own features.
+
+Labels come with a table of labelled URLs. Where there is none, a URL is labelled by its host's words: one of SEEDS, the
+trades that public block lists are sorted by, makes it one to block. The words themselves are no features: what the
+trees learn is how such URLs are built, and so they judge hosts that name no trade.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ SAMPLE = 20_000
 #: Counts of so many suffixes are broadcast; more are joined by exchange.
 BROADCAST_SUFFIXES = 100_000
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 3, 32, 0.2, 1.0
+#: Parts of the hosts, by hash, for counts that leave a URL's own part out.
+FOLDS = 5
+#: Words of host names that categories of public block lists go by.
+SEEDS = ("adult", "ads", "bet", "bets", "casino", "dating", "gambling", "malware", "phishing", "pills", "poker", "porn", "scam", "sex", "spam", "tracker", "warez", "xxx")
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -47,6 +56,11 @@ def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return found
 
 
+def names_a_seed(host: Column) -> Column:
+    """Whether a word of the host (between dots, hyphens and digits) is one of SEEDS."""
+    return host.rlike(rf"(^|[.\-0-9])({'|'.join(SEEDS)})($|[.\-0-9])")
+
+
 def _entropy(text: str) -> float:
     share = np.array([*Counter(text).values()], np.float64) / max(1, len(text))
     return float(-(share * np.log2(share)).sum())
@@ -94,6 +108,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
+def fold_of(host: Column) -> Column:
+    return F.crc32(F.encode(host, "UTF-8")) % FOLDS
+
+
 def _walk(bins: np.ndarray, trees: list) -> np.ndarray:
     total, row = np.zeros(len(bins)), np.arange(len(bins))
     for feature, cut, leaf in trees:
@@ -104,23 +122,17 @@ def _walk(bins: np.ndarray, trees: list) -> np.ndarray:
     return total
 
 
-def fit(urls: list[tuple[str, str, str]], blocked: np.ndarray, seen: dict[str, tuple[float, float]] | None = None) -> Model:
+def fit(urls: list[tuple[str, str, str]], blocked: np.ndarray, seen: list[dict[str, tuple[float, float]]]) -> Model:
     """Trees on labelled URLs (url, host, path); with labels of one kind only, their smoothed share.
 
-    seen: how often each suffix occurs and is blocked among all labelled URLs, where `urls` are only some of them.
+    seen: for each URL, how often each of its suffixes occurs and is blocked among the labelled URLs of other folds.
     """
     n, ones = len(urls), float(blocked.sum())
     rate = (ones + 0.5) / (n + 1.0)
-    if seen is None:
-        seen = {}
-        for u, y in zip(urls, blocked, strict=True):
-            for s in suffixes(u[1]):
-                k, b = seen.get(s, (0.0, 0.0))
-                seen[s] = (k + 1, b + y)
-    model = Model(float(np.log(rate / (1 - rate))), [], [], {}, rate).with_seen(seen)
+    model = Model(float(np.log(rate / (1 - rate))), [], [], {}, rate)
     if not 0 < ones < n:
         return model
-    x = model.rows(urls)
+    x = np.vstack([model.with_seen(own).rows([u]) for u, own in zip(urls, seen, strict=True)])
     model.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, k]) for k, e in enumerate(model.edges)], axis=1)
     total = np.full(n, model.base)
@@ -147,11 +159,49 @@ def fit(urls: list[tuple[str, str, str]], blocked: np.ndarray, seen: dict[str, t
     return model
 
 
+def _labelled(parted: DataFrame, labelled: DataFrame | None) -> DataFrame:
+    """Different labelled URLs: url, host, path, y."""
+    if labelled is None:
+        known = parted.where("host <> ''").select("url", "host", "path", names_a_seed(F.col("host")).cast("int").alias("y"))
+    else:
+        known = labelled.where(F.col("blocked").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("int").alias("y"))
+    return known.distinct()
+
+
+def learn(known: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+    """Trees fitted on labelled URLs, the `sample` of least hash where there are more, and the counts by suffix and fold of all
+    of them: suffix, folds (map of fold to the struct k, b), k (seen), b (blocked)."""
+    suffix = [F.substring_index("host", ".", -n) for n in (1, 2)]
+    by_fold = known.select(F.explode(F.array_distinct(F.array(*suffix))).alias("suffix"), fold_of(F.col("host")).alias("fold"), "y").groupBy("suffix", "fold").agg(F.count("*").cast("double").alias("k"), F.sum("y").cast("double").alias("b"))
+    counts = by_fold.groupBy("suffix").agg(F.map_from_entries(F.collect_list(F.struct("fold", F.struct("k", "b")))).alias("folds"), F.sum("k").alias("k"), F.sum("b").alias("b"))
+    counts = scratch.table(counts, "suffixes")
+    some = least_hashes(known, ["url", "y"], sample).withColumn("fold", fold_of(F.col("host")))
+    order = F.shiftrightunsigned(F.xxhash64("url", "y"), 1)
+    got = counted(some, counts).orderBy(order, "url", "y").collect()
+    seen = []
+    for r in got:
+        own = {}
+        for s, x in zip(suffixes(r.host), (r["__lk_1"], r["__lk_2"]), strict=True):
+            mine = x["folds"].get(r.fold)
+            own[s] = (x["k"] - (mine["k"] if mine else 0.0), x["b"] - (mine["b"] if mine else 0.0))
+        seen.append(own)
+    return fit([(r.url, r.host, r.path) for r in got], np.array([r.y for r in got], np.float64), seen), counts
+
+
+def counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows with the counts of the last one and two labels of their hosts among all labelled URLs; null if never seen."""
+    small = F.broadcast(counts) if counts.count() <= BROADCAST_SUFFIXES else counts
+    for n in (1, 2):
+        of = small.select(F.col("suffix").alias("__lk_s"), F.struct("k", "b", "folds").alias(f"__lk_{n}"))
+        rows = rows.join(of, F.substring_index("host", ".", -n) == F.col("__lk_s"), "left").drop("__lk_s")
+    return rows
+
+
 def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
     """One row per row of `pages`: id, host, path, rule (that decided, or null), verdict (allow or block), p_block (of the trees).
 
-    rules: rule -> allow or block. `labelled` (url, blocked 0/1) trains the trees; if not given, the URLs of `pages` that
-    rules decide do. A null URL, or one without ://, has an empty host and path, no rule, and the trees' verdict.
+    rules: rule -> allow or block. `labelled` (url, blocked 0/1) trains the trees; if not given, the URLs of `pages`, by
+    `names_a_seed`. A null URL, or one without ://, has an empty host and path, no rule, and the trees' verdict.
     Repeated ids and rows each get their row; of repeated URLs one is learned from. Without labelled URLs of both kinds the
     verdict is that of most labels, or block at a tie. Other columns are not read.
     """
@@ -163,36 +213,16 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None =
     for rule, said in rules.items():
         verdict = F.when(F.col("rule") == rule, F.lit(said)).otherwise(verdict)
     parted = parted.withColumn("verdict", verdict)
-    if labelled is None:
-        known = parted.where(F.col("verdict").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
-    else:
-        known = labelled.where(F.col("blocked").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("blocked").cast("int").alias("y"))
-    known = known.distinct()
-    suffix = [F.substring_index("host", ".", -n) for n in (1, 2)]
-    counts = known.select(F.explode(F.array(*suffix)).alias("suffix"), "y").groupBy("suffix").agg(F.count("*").cast("double").alias("k"), F.sum("y").cast("double").alias("b"))
-    counts = Scratch(pages.sparkSession).table(counts, "suffixes")
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_SUFFIXES else counts
-
-    def counted(rows: DataFrame) -> DataFrame:
-        """The rows with how often the last one and two labels of their hosts occur and are blocked among all labelled URLs; null if never."""
-        for n, s in enumerate(suffix, 1):
-            of = counts.select(F.col("suffix").alias("__lk_s"), F.struct("k", "b").alias(f"__lk_{n}"))
-            rows = rows.join(of, s == F.col("__lk_s"), "left").drop("__lk_s")
-        return rows
-
-    def seen_of(hosts: list, *stats: list) -> dict[str, tuple[float, float]]:
-        return {s: (x["k"], x["b"]) for h, *own in zip(hosts, *stats, strict=True) for s, x in zip(suffixes(h), own, strict=True) if x is not None}
-
-    got = counted(least_hashes(known, ["url", "y"], sample)).orderBy(F.shiftrightunsigned(F.xxhash64("url", "y"), 1), "url", "y").collect()
-    seen = seen_of([r.host for r in got], [r["__lk_1"] for r in got], [r["__lk_2"] for r in got])
-    model = replace(fit([(r.url, r.host, r.path) for r in got], np.array([r.y for r in got], np.float64), seen), seen={})
+    model, counts = learn(_labelled(parted, labelled), Scratch(pages.sparkSession), sample)
     kind = pages.schema[id_col].dataType.simpleString()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = batch.to_pydict()
-            p = model.with_seen(seen_of(of["host"], of["__lk_1"], of["__lk_2"])).blocks(list(zip(of["url"], of["host"], of["path"], strict=True)))
+            seen = {s: (x["k"], x["b"]) for h, *own in zip(of["host"], of["__lk_1"], of["__lk_2"], strict=True) for s, x in zip(suffixes(h), own, strict=True) if x is not None}
+            p = model.with_seen(seen).blocks(list(zip(of["url"], of["host"], of["path"], strict=True)))
             said = [v or ("block" if x >= 0.5 else "allow") for v, x in zip(of["verdict"], p, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3, 4)), pa.array(said, pa.string()), pa.array(p)], names=[id_col, "host", "path", "rule", "verdict", "p_block"])
 
-    return counted(parted).mapInArrow(decide, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, p_block double")
+    rows = counted(parted, counts).withColumns({f"__lk_{n}": F.col(f"__lk_{n}").dropFields("folds") for n in (1, 2)})
+    return rows.mapInArrow(decide, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, p_block double")

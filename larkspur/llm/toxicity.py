@@ -3,11 +3,13 @@
 Features are words, and beginnings of words of 4 to 7 letters (inflected forms share them), that stand in far more of
 the labelled severe texts than chance allows; a text has the logarithm of one plus the number of its words that bear
 each. P(grade > k) is the logistic function of x.w - theta_k: one weight vector for all grades, thresholds in order.
-The expected severity is the sum of these probabilities over k.
+The expected severity is the sum of these probabilities over k. Grades are those of the labels: labels of 0 and 1 make
+one threshold, and the expected severity is then the probability of 1.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, least_hashes, ship, texts
+from .common import Scratch, blocks, held_out, least_hashes, ship, texts, tidy
 
 #: Labelled rows that features and weights are learned from at most: those of the least hashes of their ids.
 SAMPLE = 10_000
-#: Most features; the standard score that a feature's excess among severe texts needs; lengths of beginnings.
-FEATURES, LEAST_SCORE, BEGINNINGS = 1000, 7.0, (4, 5, 6, 7)
+#: How many terms may pass for features by chance alone, of all that are tried; lengths of beginnings.
+CHANCE, BEGINNINGS = 0.01, (4, 5, 6, 7)
 STEPS, RATE, RIDGE = 1500, 0.5, 1e-4
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -86,42 +88,39 @@ def fit(rows: list[Counter], grades: np.ndarray, terms: dict[str, int]) -> Model
     return Model(terms, params[: len(terms)], theta)
 
 
-def learn_terms(known: DataFrame) -> dict[str, int]:
+def learn_terms(known: DataFrame, scratch: Scratch) -> dict[str, int]:
     """Terms of rows (text, y: severe or not) by the excess of severe texts among those that have them.
 
-    A term that begins with a chosen beginning says nothing new and is left out.
+    Of n texts with a term k are severe; the chance of so many or more, by Chernoff's bound, must be so small that CHANCE
+    of all terms would pass. A term that begins with a chosen beginning says nothing new and is left out.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 40)))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
     bare = known.select("y", words.alias("words"))
     stems = F.array_distinct(F.flatten(F.transform("words", lambda w: F.filter(F.array(*(F.when(F.length(w) >= n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS)), lambda t: t.isNotNull()))))
-    counts = bare.select("y", F.explode(F.concat("words", stems)).alias("term")).groupBy("term").agg(F.sum("y").alias("k"), F.count("*").alias("n"))
+    counts = scratch.table(bare.select("y", F.explode(F.concat("words", stems)).alias("term")).groupBy("term").agg(F.sum("y").alias("k"), F.count("*").alias("n")), "terms")
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("k")).first()
     if not 0 < size["k"] < size["n"]:
         return {}
-    p = size["k"] / size["n"]
-    score = (F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    best = counts.withColumn("score", score).where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), F.desc(F.length("term")), "term").limit(20 * FEATURES).select("term").collect()
+    p, share = size["k"] / size["n"], F.col("k") / F.col("n")
+    apart = share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+    bar = math.log(max(1, counts.count()) / CHANCE)
+    # a term that passes stands in several labelled texts, of which there are `sample`
+    best = counts.where("k > 0").withColumn("share", share).withColumn("score", F.col("n") * apart).where((F.col("share") > p) & (F.col("score") >= bar)).orderBy(F.desc("score"), F.desc(F.length("term")), "term").select("term").collect()
     chosen: dict[str, int] = {}
     for (term,) in best:
         word = term.rstrip("*")
-        if len(chosen) < FEATURES and not any(word[:n] + "*" in chosen for n in BEGINNINGS if n <= len(word)):
+        if not any(word[:n] + "*" in chosen for n in BEGINNINGS if n <= len(word)):
             chosen[term] = len(chosen)
     return chosen
 
 
-def grades_of(toxic: np.ndarray, rows: list[Counter]) -> np.ndarray:
-    """Grades 0, 1, 2 from a label that only says whether: a severe text with more words that bear features than the median of such texts has grade 2."""
-    found = np.array([sum(x.values()) for x in rows], np.float64)
-    bar = np.median(found[toxic == 1]) if (toxic == 1).any() else 0.0
-    return np.where(toxic == 1, 1 + (found > bar), 0).astype(np.int64)
-
-
-def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", graded: bool = False, sample: int = SAMPLE) -> DataFrame:
+def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """One row per row of `docs`: id, held_out, severity (expected grade), p_toxic (that the grade is not 0), toxic (1 if that is 0.5 or more).
 
     Learns from rows of `labels` (id, label; nulls left out) that are not held out, the `sample` of least hash where
-    there are more. graded: labels are grades from 0; else they are 0 or 1, and `grades_of` makes grades of them. A null or empty text has no features.
-    Repeated ids and rows each get their row; without usable labels every severity is the same. Other columns are not read.
+    there are more; labels are grades from 0. A null or empty text has no features. Repeated ids and rows each get their
+    row, and where labelled ids repeat, `sample` of their rows are learned from; without usable labels every severity is
+    the same. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -130,7 +129,8 @@ def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # at most `sample` rows of two numbers: under 300 KB
     known = source.join(F.broadcast(some), "id").withColumn("y", (F.col("grade") > 0).cast("int"))
-    terms = learn_terms(known)
+    scratch = Scratch(spark)
+    terms = learn_terms(known, scratch)
     blank = Model(terms, np.zeros(len(terms)), np.zeros(1))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +139,11 @@ def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 found = [blank.features(x) for x in texts(batch, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], names=["grade", "columns", "counts"])
 
-    got = known.select("grade", "text").mapInArrow(reduce, "grade int, columns array<int>, counts array<int>").toArrow().to_pylist() if terms else []
+    features = scratch.table(known.select("grade", "text").mapInArrow(tidy(reduce), "grade int, columns array<int>, counts array<int>"), "features")
+    got = least_hashes(features, ["grade", "columns", "counts"], sample).toArrow().to_pylist() if terms else []
     got.sort(key=lambda r: (r["grade"], r["columns"], r["counts"]))
     rows = [Counter(dict(zip(r["columns"], r["counts"], strict=True))) for r in got]
     grades = np.array([r["grade"] for r in got], np.int64)
-    if not graded:
-        grades = grades_of((grades > 0).astype(int), rows)
     model = fit(rows, grades, terms)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -154,4 +153,4 @@ def score_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 above = model.above([model.features(x) for x in texts(batch, 2)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array((above[:, 0] >= 0.5).astype(np.int32))], names=[id_col, "held_out", "severity", "p_toxic", "toxic"])
 
-    return source.select("id", held_out(F.col("id")), "text").mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, severity double, p_toxic double, toxic int")
+    return source.select("id", held_out(F.col("id")), "text").mapInArrow(tidy(score), f"`{id_col}` {kind}, held_out boolean, severity double, p_toxic double, toxic int")

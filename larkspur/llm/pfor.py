@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembering, Scratch, blocks, hold, ship, texts
+from .common import Remembering, Scratch, blocks, hold, ship, store_of, texts, tidy
 from .token_count import byte_symbols
 
 MAGIC = b"LKPFOR01"
@@ -38,8 +37,9 @@ PERCENTILE = 0.9
 FILE_IDS = 4 << 20
 #: Ids that are packed at once, whole blocks.
 PACKED = 1 << 19
-#: Documents that one range of ids holds on average, and the most ranges; a range with more is written in several files.
-RANGE_DOCS, MOST_RANGES = 8192, 10_000
+#: Documents that one range of ids holds on average, up to so many ranges; beyond these the documents of a wide range. A
+#: range is sorted outside of memory, and written in several files where it holds more than FILE_IDS ids.
+RANGE_DOCS, RANGES, WIDE_RANGE_DOCS = 8192, 10_000, 1_000_000
 #: Words whose ids a worker remembers; beyond that those not seen among as many new ones are forgotten.
 REMEMBERED = 300_000
 
@@ -181,25 +181,29 @@ def word_ids(path: str) -> WordIds:
     return _ready[path]
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri(f"file://{uri}")
+def ranges_of(rows: int) -> int:
+    """Ranges of ids for so many rows: as many more as there are more rows, at any size."""
+    return max(1, min(-(-rows // RANGE_DOCS), RANGES), -(-rows // WIDE_RANGE_DOCS))
 
 
 def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends `end_id` to each, and writes files of blocks under `folder` (a URI that all machines
-    reach) in ascending order of `id_col` (an integer; nulls first, equal ids in the order of their token ids).
+    reach) in ascending order of `id_col` (an integer; nulls first, equal ids by a hash and the order of their token ids).
 
     The result is the list of files, lazily: doing it is what writes them. Columns: id_range, part, path, n_docs, n_ids.
-    Ids are sent, not texts, and once; ranges come from quantiles of the ids alone, so a source that holds a third of
-    all rows is spread like any other. A task that runs twice writes the same bytes to the same name. A null or empty
-    text has the end id only. An empty table gives no file.
+    Ids are sent, not texts, and once, each range to a task of its own; ranges come from quantiles of the ids alone, so a
+    source that holds a third of all rows is spread like any other, and an id (or null) of more rows than a range holds is
+    spread over several ranges by the hash. A task that runs twice writes the same bytes to the same name. A null or
+    empty text has the end id only. An empty table gives no file.
     """
     spark = docs.sparkSession
     ship(spark)
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    n = max(1, min(MOST_RANGES, -(-ids.count() // RANGE_DOCS)))
-    cuts = ids.agg(F.percentile_approx("id", [(k + 1) / n for k in range(n - 1)], 100 * n).alias("cuts")).first()["cuts"] if n > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    rows = ids.agg(F.count("*").alias("all"), F.count("id").alias("known")).first()
+    n = ranges_of(rows["known"])
+    nulls = ranges_of(rows["all"] - rows["known"]) if rows["all"] > rows["known"] else 0
+    cuts = ids.agg(F.percentile_approx("id", [(k + 1) / n for k in range(n - 1)], 20 * n).alias("cuts")).first()["cuts"] if n > 1 else []
+    cuts = np.sort(np.array(cuts or [], np.int64))
 
     wide = np.dtype(word_ids(vocabulary).wide)
 
@@ -210,13 +214,17 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
                 own = batch.column(0).to_pylist()
                 end = array(known.wide, [end_id]).tobytes()
                 made = [known.encode(x) + end for x in texts(batch, 1)]
-                at = np.searchsorted(cuts, np.array([x or 0 for x in own], np.int64), side="left") + 1
-                at[[x is None for x in own]] = 0
+                number, part = np.array([x or 0 for x in own], np.int64), np.array([zlib.crc32(x) for x in made], np.int64)
+                at = np.searchsorted(cuts, number, side="left")
+                same = np.searchsorted(cuts, number, side="right") - at  # an id that is several cuts has as many ranges
+                at += nulls + (part * np.maximum(same, 1) >> 32)
+                none = np.array([x is None for x in own], bool)
+                at[none] = part[none] * nulls >> 32
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), pa.array(made, pa.binary())], names=["id_range", "id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(lambda: None)  # the words that the tasks before remembered are of no more use
-        store, base = _store(folder)
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
         docs_in, held, size, at, part = [], [], 0, None, 0
 
@@ -244,14 +252,14 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
         if held:
             yield flush()
 
-    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(encode, "id_range int, id long, ids binary")
-    return made.repartition(n, "id_range").sortWithinPartitions("id_range", "id", "ids").mapInArrow(write, "id_range int, part int, path string, n_docs long, n_ids long")
+    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(tidy(encode), "id_range int, id long, ids binary")
+    return made.repartitionById(nulls + n, "id_range").sortWithinPartitions("id_range", "id", "ids").mapInArrow(tidy(write), "id_range int, part int, path string, n_docs long, n_ids long")
 
 
 def with_starts(files: DataFrame) -> DataFrame:
     """The list of files and `start`, the number of ids in all files before each."""
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    ranges = files.groupBy("id_range").agg(F.sum("n_ids").alias("range_ids"))  # MOST_RANGES rows at most
+    ranges = files.groupBy("id_range").agg(F.sum("n_ids").alias("range_ids"))  # a row for each range: one for 8192 to a million documents
     ranges = ranges.select("id_range", F.coalesce(F.sum("range_ids").over(before.orderBy("id_range")), F.lit(0)).alias("range_start"))
     within = F.coalesce(F.sum("n_ids").over(before.partitionBy("id_range").orderBy("part")), F.lit(0))
     return files.select("*", within.alias("within")).join(F.broadcast(ranges), "id_range").select(*files.columns, (F.col("range_start") + F.col("within")).alias("start"))
@@ -266,7 +274,7 @@ def read_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
         hold(lambda: None)
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, name = _store(path)
+                store, name = store_of(path)
                 with store.open_input_stream(name) as source:
                     file = File(source.read())
                 step = max(1, len(file.counts) // max(1, file.total >> 19))
@@ -286,7 +294,7 @@ def read_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
                         columns.append(pa.ListArray.from_arrays(pa.array(np.append(lows, highs[-1]), pa.int32()), pa.array(ids.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "token_ids"][: len(columns)])
 
-    return files.select("path", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
+    return files.select("path", "start").mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
@@ -294,4 +302,4 @@ def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: in
     scratch = Scratch(spark)
     files = scratch.table(write_files(docs, vocabulary, scratch.path("ids"), end_id), "files")
     n = files.count()
-    return read_files(with_starts(files).repartition(max(1, min(n, 10_000)), "path"), with_ids=False)
+    return read_files(with_starts(files).repartition(max(1, min(n, 10_000), n // 100)), with_ids=False)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, held_out, least_hashes, ship
+from .common import Scratch, blocks, held_out, least_hashes, ship, tidy
 
 #: Labelled rows that the model is fitted on at most: those of the least hashes of their ids.
 SAMPLE = 50_000
@@ -142,7 +142,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Learns from rows of `labels` (id, label; nulls left out) that are not held out, the `sample` of least hash where
     there are more. Null and empty texts have all statistics zero and get that score. Repeated ids and rows each get
-    their row; if ids repeat in either table each combination counts in the fit. Without usable labels each score is 0.5.
+    their row; if ids repeat in either table each combination counts in the fit, up to `sample`. Without usable labels each score is 0.5.
     Texts are read once, the statistics are kept in the shared folder, the fit takes at most `sample` rows of 15 numbers.
     """
     spark = docs.sparkSession
@@ -156,10 +156,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 made = [statistics(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["id", "x"])
 
-    rows = scratch.table(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(count, f"id {kind}, x array<double>"), "statistics")
+    rows = scratch.table(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(count), f"id {kind}, x array<double>"), "statistics")
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     some = least_hashes(usable, ["id", "y"], sample)
-    known = rows.join(some, "id").select("x", "y").toArrow()
+    found = scratch.table(rows.join(some, "id").select("x", "y"), "known")
+    known = least_hashes(found, ["x", "y"], sample).toArrow()  # where labelled ids repeat there are more
     x = np.array(known["x"].combine_chunks().flatten(), np.float64).reshape(-1, len(NAMES)) if known.num_rows else np.empty((0, len(NAMES)))
     order = np.lexsort(x.T) if len(x) else np.empty(0, int)  # sums do not depend on the order of arrival
     model = fit(x[order], np.array(known["y"].to_numpy() if known.num_rows else [], np.float64)[order])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, Scratch, blocks, drop_places, placed, ship
+from .common import PLACE, Scratch, blocks, drop_places, placed, ship, tidy
 from .components import components
 
 BITS, BYTES, DIFFER = 64, 8, 2
@@ -29,6 +29,8 @@ BITS, BYTES, DIFFER = 64, 8, 2
 SHARED = BYTES - DIFFER
 #: Fingerprints in a posting that are paired with each other.
 MOST = 8
+#: Parts that the rows of a fingerprint are counted in first.
+SALTS = 16
 SEED = 42
 
 
@@ -62,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 made = [fingerprint(x or b"", words_in_shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), *batch.columns[2:]], names=["id", "fp", *place])
 
-    return docs.select(F.col(id_col), F.col(text_col), *place).mapInArrow(make, ", ".join([f"id {kind}, fp bigint", *(f"{c} bigint" for c in place)]))
+    return docs.select(F.col(id_col), F.col(text_col), *place).mapInArrow(tidy(make), ", ".join([f"id {kind}, fp bigint", *(f"{c} bigint" for c in place)]))
 
 
 def shared_bytes(x: Column, y: Column) -> Column:
@@ -95,8 +97,10 @@ def links(distinct: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
     """`fingerprints` of every row, and component_id."""
     rows = scratch.table(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = scratch.table(components(links(rows.select("fp").distinct()), scratch), "roots")
+    # in two steps, so that what many tasks have counted of one fingerprint does not meet in one task at once
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("fp", "salt").agg(F.min("id").alias("first"))
+    first = scratch.table(salted.groupBy("fp").agg(F.min("first").alias("first")), "first")
+    roots = scratch.table(components(links(first.select("fp")), scratch), "roots")
     labelled = first.join(roots, F.col("fp") == F.col("node"))
     least = labelled.groupBy("root").agg(F.min("first").alias("least"))
     # a table of its own, so that adaptive execution can split the rows of a very frequent fingerprint among tasks

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["PLACE", "WORD", "Remembering", "Scratch", "blocks", "by_place", "delete", "drop_places", "held_out", "hold", "least_hashes", "let", "placed", "shared_dir", "ship", "store_of", "texts"]
+__all__ = ["PLACE", "WORD", "Remembering", "Scratch", "blocks", "by_place", "delete", "drop_places", "held_out", "hold", "least_hashes", "let", "placed", "shared_dir", "ship", "store_of", "texts", "tidy"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -170,7 +172,7 @@ def by_place(docs: DataFrame, verdicts: DataFrame, scratch: Scratch, apply: Call
             for batch in blocks(whole, None):
                 yield apply(batch.select(range(width)), list(known.matches(batch)))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def drop_places(docs: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
@@ -201,7 +203,7 @@ def least_hashes(frame: DataFrame, keys: list[str], most: int) -> DataFrame:
     total = frame.count()
     if total > most:
         share = 1.1 * most / total + 1000 / total
-        frame = frame.where(place < int(min(1.0, share) * (2**63 - 1)))
+        frame = frame.where(place <= min(int(share * 2.0**63), 2**63 - 1))
     return frame.orderBy(place, *keys).limit(most)
 
 
@@ -223,6 +225,24 @@ def blocks(batch: pa.RecordBatch, column: int | None, limit: int = 8 << 20):
         yield batch.slice(at, rows)
 
 
+def trim() -> None:
+    """Gives memory that this worker has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that trims its worker when a task is done: workers wait for tasks beside others that run."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 _held: list = []
 
 
@@ -230,6 +250,7 @@ def hold(release) -> None:
     """Called by what makes a worker remember much: the last to have done so gives its memory back with `release`."""
     while _held:
         _held.pop()()
+        trim()
     _held.append(release)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Remembering, Scratch, blocks, drop_places, hold, placed, ship, texts
+from .common import Remembering, Scratch, blocks, drop_places, hold, placed, ship, texts, tidy
 
 LENGTH, STEP = 32, 16
 TERMS, SKETCH, RANK = 1 << 13, 128, 96
@@ -108,7 +108,16 @@ def _passages(rows: list[np.ndarray]) -> np.ndarray:
     return both[~alone]
 
 
-def sketch(passages: np.ndarray, signs: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def drawn(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The random test matrix: row and sign of each passage, by its key alone (the steps are those of splitmix64)."""
+    x = keys + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return (x >> np.uint64(8)).astype(np.int64) % SKETCH, np.where(x & np.uint64(1), 1.0, -1.0)
+
+
+def sketch(passages: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What passages add to the sketch (SKETCH, TERMS), without weights of terms, and to the terms' passage counts."""
     ordered = np.sort(passages, axis=1)
     new = np.ones(ordered.shape, bool)
@@ -119,8 +128,8 @@ def sketch(passages: np.ndarray, signs: np.random.Generator) -> tuple[np.ndarray
     times = np.bincount(run[ordered.ravel() >= 0], minlength=run[-1] + 1 if len(run) else 0)
     first = np.flatnonzero(new.ravel())
     norms = np.sqrt(np.maximum(np.bincount(first // LENGTH, (times**2).astype(np.float64), len(passages)), 1))
-    row = signs.integers(0, SKETCH, len(passages))
-    sign = signs.choice([-1.0, 1.0], len(passages)) / norms
+    row, sign = drawn(keys)
+    sign = sign / norms
     real = passages >= 0
     at = (row[:, None] * TERMS + passages)[real]
     return np.bincount(at, np.broadcast_to(sign[:, None], passages.shape)[real], SKETCH * TERMS).reshape(SKETCH, TERMS), counts
@@ -181,24 +190,28 @@ def _sums(frame: DataFrame, spark: SparkSession) -> np.ndarray:
 
 
 def latent_space(tokens: DataFrame) -> Space:
-    """The space of all passages of `tokens` (terms binary of unsigned 16-bit integers)."""
+    """The space of all passages of `tokens` (id, terms binary of unsigned 16-bit integers)."""
     spark = tokens.sparkSession
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts = np.zeros((SKETCH, TERMS)), np.zeros(TERMS)
         for whole in batches:
-            for batch in blocks(whole, 0, 1 << 20):
-                passages = _passages([np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()])
+            for batch in blocks(whole, 1, 1 << 20):
+                rows = [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
+                passages = _passages(rows)
                 if len(passages):
-                    # the signs of a block follow from its terms: a task that runs again gives the same sums
-                    made, seen = sketch(passages, np.random.default_rng(zlib.crc32(passages.tobytes())))
+                    # a passage's part of the test matrix follows from its document and place: neither the partitions nor a task that runs again change it
+                    many = [max(1, -(-len(x) // STEP) - 1) if len(x) else 0 for x in rows]
+                    keys = np.repeat(np.array([zlib.crc32(repr(x).encode()) << 32 for x in batch.column(0).to_pylist()], np.uint64), many)
+                    place = np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)
+                    made, seen = sketch(passages, keys + place.astype(np.uint64))
                     total += made
                     counts += seen
         n = float(counts.sum())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH + 1), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in [*total, counts]], pa.binary())], names=["part", "data"])
 
-    sums = _sums(tokens.select("terms").mapInArrow(collect, "part int, data binary"), spark)
+    sums = _sums(tokens.select("id", "terms").mapInArrow(tidy(collect), "part int, data binary"), spark)
     many = tokens.select(F.sum(F.greatest(F.lit(1), F.ceil(F.length("terms") / (2 * STEP)) - 1)).alias("n")).first()["n"] or 0
     return space_of(sums[:SKETCH], sums[SKETCH], int(many))
 
@@ -271,6 +284,13 @@ class Search:
         self.many = np.array([len(o) for o in owners], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.many)])[:-1]
 
+    def pieces(self, words: int, room: int) -> list[tuple[int, int]]:
+        """Where a text of so many words is cut for `room` steps at once: each piece reaches as far into its neighbours as words near a passage do."""
+        if words <= room * STEP:
+            return [(0, words)]
+        beyond = (int(self.reach.max(initial=0)) + LENGTH // STEP) * STEP
+        return [(max(0, a - beyond), min(words, a + room * STEP + beyond)) for a in range(0, words, room * STEP)]
+
     def enough(self, numbers: np.ndarray) -> np.ndarray:
         """(steps, items): whether the words near the passage that begins at a step are enough of an item's rarer words."""
         steps = len(numbers) // STEP
@@ -383,7 +403,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     found = [read(x) for x in texts(batch, 1)]
                     yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], names=["id", "terms", "numbers"])
 
-        tokens = scratch.table(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tokenise, f"id {kind}, terms binary, numbers binary"), "tokens")
+        tokens = scratch.table(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(tokenise), f"id {kind}, terms binary, numbers binary"), "tokens")
         space = space or latent_space(tokens)
         placed = spark.sparkContext.broadcast(space)  # TERMS times RANK numbers: 3 MB
 
@@ -392,17 +412,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             room = max(64, 800_000 // max(1, len(ready.items.ids)))
             for batch in batches:
                 docs, terms, numbers = (c.to_pylist() for c in batch.columns)
-                sizes = np.array([len(x) // (2 * STEP) + 1 for x in terms], np.int64)
-                turn = np.cumsum(sizes) // room
-                got = []
+                pieces = [(i, a, b) for i, x in enumerate(terms) for a, b in ready.pieces(len(x) // 2, room)]
+                turn = np.cumsum([(b - a) // STEP + 1 for _, a, b in pieces]) // room
+                best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 for t in np.unique(turn):
-                    at = np.flatnonzero(turn == t)
-                    found = ready.matches([(np.frombuffer(terms[i], np.uint16), np.frombuffer(numbers[i], np.uint32)) for i in at])
-                    got += [(docs[at[own]], ready.items.ids[k], *rest) for own, k, *rest in found]
+                    some = [pieces[p] for p in np.flatnonzero(turn == t)]
+                    for own, k, *rest in ready.matches([(np.frombuffer(terms[i], np.uint16)[a:b], np.frombuffer(numbers[i], np.uint32)[a:b]) for i, a, b in some]):
+                        key = (some[own][0], k)
+                        if key not in best or (rest[1], rest[0]) > (best[key][1], best[key][0]):
+                            best[key] = tuple(rest)
+                got = [(docs[i], ready.items.ids[k], *rest) for (i, k), rest in best.items()]
                 columns = [list(c) for c in zip(*got, strict=True)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], item_type), *(pa.array(c, pa.float64()) for c in columns[2:])], names=[id_col, item_col, "cosine", "lcs_share", "answer_share"])
 
-        out = out.union(scratch.table(tokens.mapInArrow(search, schema), "matches"))
+        out = out.union(scratch.table(tokens.mapInArrow(tidy(search), schema), "matches"))
         scratch.drop(tokens)
     return out
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import PLACE, Scratch, blocks, by_place, placed, ship
+from .common import PLACE, Scratch, blocks, by_place, placed, ship, tidy
 
 #: Words that a run needs to be deleted, unless another number is asked for; 1 deletes every repeated line.
 MIN_WORDS = 50
@@ -73,7 +73,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(split, f"id {kind}, t long, i int, at int, h1 long, h2 long, w int")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(split), f"id {kind}, t long, i int, at int, h1 long, h2 long, w int")
 
 
 def _ranked(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -159,7 +159,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
                     own = pa.array(own)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x, pa.int32()) for x in rest[:5]), *(pa.array(x) for x in rest[5:])], names=["id", "t", "i", "j", "first", "last", "n", "a", "b"])
 
-    found = scratch.table(gathered.mapInArrow(look_up, f"id {kind}, t long, i int, j int, first int, last int, n int, a long, b long"), "runs")
+    found = scratch.table(gathered.mapInArrow(tidy(look_up), f"id {kind}, t long, i int, j int, first int, last int, n int, a long, b long"), "runs")
     scratch.drop(lines, often, again, *levels)
     intervals = scratch.table(found.groupBy("n", "a", "b").agg(F.min(F.struct("id", "t", "first")).alias("earliest"), F.count("*").alias("many")).where("many > 1").drop("many"), "intervals")
     later = found.join(intervals, ["n", "a", "b"]).where(F.struct("id", "t", "first") > F.col("earliest"))

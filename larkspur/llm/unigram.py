@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembering, blocks, hold, ship, texts
+from .common import Remembering, blocks, hold, ship, texts, tidy
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -221,7 +221,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | Vocabulary, text_col: st
                 ids = np.concatenate(rows or [np.empty(0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=[*keep, ids_col])
 
-    return source.mapInArrow(encode, schema)
+    return source.mapInArrow(tidy(encode), schema)
 
 
 def decode_documents(frame: DataFrame, vocabulary: str | Vocabulary, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
@@ -239,7 +239,7 @@ def decode_documents(frame: DataFrame, vocabulary: str | Vocabulary, ids_col: st
                 made = [model.decode(np.array(x or [], np.int64)) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*keep, text_col])
 
-    return source.mapInArrow(decode, schema)
+    return source.mapInArrow(tidy(decode), schema)
 
 
 def round_trips(docs: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,4 +269,4 @@ def round_trips(docs: DataFrame, vocabulary: str | Vocabulary, id_col: str = "do
                 )
 
     source = docs.select(F.col(id_col), F.col(text_col))
-    return source.mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, text_crc32 long, round_trip boolean")
+    return source.mapInArrow(tidy(digest), f"`{id_col}` {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, text_crc32 long, round_trip boolean")

@@ -57,8 +57,7 @@ def brute(docs, items):
         for k, item in items:
             own = dc.words_of(item or "")
             for at in range(0, max(1, len(words)), 8) if own and len(words) < 5000 else []:
-                near = words[at : at + 2 * len(own)]
-                if slow_lcs(own, near) >= 0.75 * len(own) and slow_lcs(own[-8:], near) >= 0.5 * len(own[-8:]):
+                if slow_lcs(own, words[at : at + 2 * len(own)]) >= dc.LCS_SHARE * len(own):
                     found.add((doc, k))
                     break
     return found
@@ -114,6 +113,35 @@ def test_blocks_of_the_benchmark_make_no_difference(planted, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(docs, benchmark).collect()} == whole
 
 
+def test_partitions_make_no_difference(planted):
+    docs, benchmark, *_ = planted
+    rows = [{(r.doc_id, r.item_id, round(r.cosine, 4), r.lcs_share) for r in dc.contaminated(docs.repartition(n), benchmark).collect()} for n in (1, 64)]
+    assert rows[0] == rows[1]
+
+
+def test_long_texts_in_pieces():
+    """A text that is cut has the matches of the whole one."""
+    random.seed(14)
+    word = lambda: "".join(random.choices(["ba", "ko", "ri", "tu", "ne", "sol", "mag", "fen"], k=4))
+    bench = [(k, " ".join(word() for _ in range(20 + k)), None) for k in range(30)]
+    items = dc.Items.of(bench)
+    words = [word() for _ in range(9000)]
+    for k, at in enumerate(sorted(random.sample(range(8000), 30))):
+        words[at : at + 20 + k] = bench[k][1].split()
+    text = " ".join(words)
+    terms, numbers = dc.Runs(items.numbers).read(text)
+    made, counts = dc.sketch(dc._passages([terms]), np.arange(len(dc._passages([terms])), dtype=np.uint64))
+    search = dc.Search(items, dc.space_of(made, counts, 561))
+    whole = {k: share for _, k, _, share, _ in search.matches([(terms, numbers)])}
+    pieces = search.pieces(len(terms), 64)
+    assert len(pieces) == 9 and all(b - a <= (64 + 2 * 5 + 2) * dc.STEP for a, b in pieces)
+    cut = {}
+    for a, b in pieces:
+        for _, k, _, share, _ in search.matches([(terms[a:b], numbers[a:b])]):
+            cut[k] = max(share, cut.get(k, 0))
+    assert cut == whole and len(whole) >= 25
+
+
 def test_empty_sides(planted):
     docs, benchmark, *_ = planted
     assert dc.contaminated(docs.limit(0), benchmark).count() == 0
@@ -127,7 +155,7 @@ def test_sketch_keeps_the_large_directions():
     rng = np.random.default_rng(3)
     topics = rng.integers(0, dc.TERMS, (3, 40))
     passages = np.stack([rng.choice(topics[k % 3], dc.LENGTH) for k in range(3000)]).astype(np.int32)
-    made, counts = dc.sketch(passages, rng)
+    made, counts = dc.sketch(passages, np.arange(len(passages), dtype=np.uint64))
     assert counts.sum() == sum(len(set(p)) for p in passages)
     weighted = np.zeros((len(passages), dc.TERMS), np.float32)
     np.add.at(weighted, (np.arange(len(passages))[:, None], passages), 1)

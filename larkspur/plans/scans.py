@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import csv_line, table
 from ..sql import pg_sql
 from .registry import query, sql
 
@@ -23,11 +23,24 @@ def dual_row_marks(spark, sf_dir):
     return pg_sql(spark, "SELECT r_regionkey, r_name FROM region FOR UPDATE FOR SHARE", {"region": table(spark, sf_dir, "region")})
 
 
-@query("copy_out_csv", "SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS value FROM nation")
+ODD = """CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN p_name || ',' || p_type WHEN 3 THEN 'a "' || p_name || '"' WHEN 4 THEN p_name || chr(10) || 'x' ELSE p_name END"""
+
+
+@query("copy_out_csv", f"""SELECT p_partkey || ',' || CASE WHEN t IS NULL THEN '' WHEN t = '' OR regexp_matches(t, '[",\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END || ',' || CASE WHEN p_size > 20 THEN 't' ELSE 'f' END AS value FROM (SELECT *, {ODD} AS t FROM part) AS p""")
 def copy_out_csv(spark, sf_dir):
-    """The lines that COPY (SELECT ...) TO writes for a relation without quoting needs."""
-    nation = table(spark, sf_dir, "nation")
-    return nation.select(F.to_csv(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("value"))
+    """The lines that COPY (SELECT ...) TO writes: nulls, empty texts, delimiters, quotes and line ends."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(ODD).alias("t"), (F.col("p_size") > 20).alias("large"))
+    return part.select(csv_line(part).alias("value"))
+
+
+@query("explain_forms")
+def explain_forms(spark, sf_dir):
+    """Plans as rows of text: as it is, verbose, as JSON, and with the counts of a run."""
+    lines = table(spark, sf_dir, "lineitem")
+    text = "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag"
+    forms = ["EXPLAIN ", "EXPLAIN VERBOSE ", "EXPLAIN (FORMAT JSON) ", "EXPLAIN ANALYZE "]
+    made = [pg_sql(spark, f + text, {"lineitem": lines}).select(F.lit(f.strip()).alias("form"), "line", F.col("QUERY PLAN").alias("plan")) for f in forms]
+    return made[0].union(made[1]).union(made[2]).union(made[3])
 
 
 @query("explain_smoke")

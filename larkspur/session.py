@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Checked arithmetic, UTC, adaptive plans, run-time Bloom filters and cost-based join order.
+#: Checked arithmetic, UTC, adaptive plans and run-time Bloom filters.
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -12,15 +12,17 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.cbo.enabled": "true",
-    "spark.sql.cbo.joinReorder.enabled": "true",
     "spark.sql.timeType.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def session(name: str = "larkspur", cores: int | None = None, shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
-    """A session; with `cores` a local one (driver memory 8 GB), else on the master that spark-submit names."""
+    """A session; with `cores` a local one (driver memory 8 GB), else on the master that spark-submit names.
+
+    `shuffle_partitions` is where adaptive execution begins to coalesce: on a cluster give it two to four times the cores,
+    and enough that a partition of the largest exchange (input over partitions) fits in a task's memory.
+    """
     builder = SparkSession.builder.appName(name)
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)

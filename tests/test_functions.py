@@ -210,6 +210,17 @@ def test_csv(spark, tmp_path):
     assert part.read_text() == '1,,"a""b,c",""\n'
 
 
+def test_csv_files_have_the_lines_of_copy(spark, tmp_path):
+    from larkspur.sources.tables import copy_to_csv, csv_line
+
+    rows = spark.createDataFrame([(1, True, " a b "), (2, False, 'say "x"'), (3, None, "two\nlines"), (4, True, "semi;colon, comma"), (5, False, None)], "k int, b boolean, t string").coalesce(1)
+    copy_to_csv(rows, str(tmp_path / "out"), header=True)
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    lines = [r.value for r in rows.select(csv_line(rows).alias("value")).collect()]
+    assert part.read_text() == "\n".join(["k,b,t", *lines]) + "\n"
+    assert lines[0] == "1,t, a b " and lines[1] == '2,f,"say ""x"""' and lines[4] == "5,f,"
+
+
 def test_event_stream(spark, tmp_path):
     from larkspur.streaming.events import counts_by_window, event_stream
 

@@ -31,8 +31,9 @@ SPREAD = [0.4, 0.05, 0.6, 0.5, 0.15]
 P = len(NAMES)
 COVERAGE = 0.75
 STARTS = ("clipped", "signs", "tanh")
-#: Concentration steps at most; the determinant has settled long before in all that was seen.
-MOST_STEPS = 30
+#: A determinant has settled when a step lowers its logarithm by less (the grid's ties may even raise it); steps at most,
+#: more than any group was seen to need.
+SETTLED, MOST_STEPS = 1e-3, 30
 #: c of the estimate at this coverage: 0.75 / P(chi2 with 7 degrees < the 0.75 quantile of chi2 with 5).
 CONSISTENT = 1.41
 #: The 0.975 quantile of chi2 with 5 degrees of freedom, and c there.
@@ -114,36 +115,38 @@ def _key(level: str) -> Column:
     return F.xxhash64(F.lit(level), *(x for c in parts for x in (F.col(c), F.col(c).isNull())))
 
 
-def _distance(u: Column) -> Column:
-    """Squared Mahalanobis distance of u from the centre `m` by the inverse Cholesky factor `w` (rows of a lower triangle)."""
-    away = [u[i] - F.col("m")[i] for i in range(P)]
-    parts = [sum((F.col("w")[i * (i + 1) // 2 + j] * away[j] for j in range(1, i + 1)), F.col("w")[i * (i + 1) // 2] * away[0]) for i in range(P)]
-    return sum((x * x for x in parts[1:]), parts[0] * parts[0])
+#: SQL of the squared Mahalanobis distance of u from the centre `m` by the inverse Cholesky factor `w` (rows of a lower triangle).
+DISTANCE = " + ".join(f"power({' + '.join(f'w[{i * (i + 1) // 2 + j}] * (u[{j}] - m[{j}])' for j in range(i + 1))}, 2)" for i in range(P))
+FAR = f"CAST(least(floor({DISTANCE_GRID} * ln(1 + {DISTANCE})), {DISTANCE_TOP}) AS INT) AS far"
 
 
-def _sums(x: Column) -> list[Column]:
-    """n, sums s0.. and sums of products p00, p10, .. of vectors."""
-    return [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in PAIRS)]
+def _sums(x: str) -> list[Column]:
+    """n, sums s0.. and sums of products p00, p10, .. of the vectors called x."""
+    return [F.expr(e) for e in ("count(*) AS n", *(f"sum({x}[{i}]) AS s{i}" for i in range(P)), *(f"sum({x}[{i}] * {x}[{j}]) AS p{i}{j}" for i, j in PAIRS))]
 
 
 def _moments(sums: DataFrame, factor: float, *keys: str) -> DataFrame:
     """keys, n, the mean m0.. and the scatter c00, c10, .., the covariance times `factor`."""
-    mean = sums.select(*keys, "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *((F.col(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i, j in PAIRS))
-    scatter = {(i, j): factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) for i, j in PAIRS}
-    return mean.select(*keys, "n", *(f"m{i}" for i in range(P)), *((F.greatest(x, F.lit(0.0)) if i == j else x).alias(f"c{i}{j}") for (i, j), x in scatter.items()))
+    scatter = {(i, j): f"{factor}D * (p{i}{j} / n - s{i} / n * s{j} / n)" for i, j in PAIRS}
+    return sums.selectExpr(*keys, "n", *(f"s{i} / n AS m{i}" for i in range(P)), *(f"{f'greatest({x}, 0D)' if i == j else x} AS c{i}{j}" for (i, j), x in scatter.items()))
 
 
 def _whitening(frame: DataFrame, *keys: str) -> DataFrame:
     """keys, the centre m, the inverse Cholesky factor w of the scatter and the unit matrix, and their determinant's logarithm."""
-    for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (1.0 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            frame = frame.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    have = [f"m{i}" for i in range(P)]
+    left = {(i, j): f"c{i}{j} + 1D" if i == j else f"c{i}{j}" for i, j in PAIRS}  # what of the scatter no column of l accounts for
     for j in range(P):
-        for i in range(j, P):
-            rest = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
-            frame = frame.withColumn(f"w{i}{j}", rest / F.col(f"l{i}{i}"))
-    return frame.select(*keys, F.array(*(f"m{i}" for i in range(P))).alias("m"), F.array(*(f"w{i}{j}" for i, j in PAIRS)).alias("w"), (2 * sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))).alias("det"))
+        frame = frame.selectExpr(*keys, *have, *(f"{left[x, y]} AS r{x}{y}" for x, y in PAIRS if y >= j))
+        made = [f"sqrt(greatest(r{j}{j}, 1e-9D)) AS l{j}{j}", *(f"r{i}{j} / sqrt(greatest(r{j}{j}, 1e-9D)) AS l{i}{j}" for i in range(j + 1, P))]
+        frame = frame.selectExpr(*keys, *have, *made, *(f"r{x}{y}" for x, y in PAIRS if y > j))
+        have += [f"l{i}{j}" for i in range(j, P)]
+        left = {(x, y): f"r{x}{y} - l{x}{j} * l{y}{j}" for x, y in PAIRS if y > j}
+    for d in range(P):  # the inverse, a diagonal after the other
+        made = [f"1D / l{i}{i} AS w{i}{i}" if d == 0 else f"-({' + '.join(f'l{i}{k} * w{k}{i - d}' for k in range(i - d, i))}) / l{i}{i} AS w{i}{i - d}" for i in range(d, P)]
+        frame = frame.selectExpr(*keys, *have, *made)
+        have += [f"w{i}{i - d}" for i in range(d, P)]
+    whole = ", ".join(f"w{i}{j}" for i, j in PAIRS)
+    return frame.selectExpr(*keys, f"array({', '.join(f'm{i}' for i in range(P))}) AS m", f"array({whole}) AS w", f"2 * ({' + '.join(f'ln(l{i}{i})' for i in range(P))}) AS det")
 
 
 def _at_share(counts: DataFrame, keys: list[str], grid: str, share: float) -> DataFrame:
@@ -172,25 +175,22 @@ def _starts(rows: DataFrame, near, scratch: Scratch) -> DataFrame:
     functions = [F.transform("z", lambda x: F.greatest(F.lit(-2.0), F.least(F.lit(2.0), x))), F.transform("z", lambda x: x * P**0.5 / size), F.transform("z", F.tanh)]
     changed = rows.join(near(middles), "g").select("g", z.alias("z"))
     changed = changed.select("g", F.explode(F.array(*(F.struct(F.lit(name).alias("start"), f.alias("f")) for name, f in zip(STARTS, functions, strict=True)))).alias("x")).select("g", "x.start", "x.f")
-    found = _moments(changed.groupBy("g", "start").agg(*_sums(F.col("f"))), 1.0, "g", "start").join(near(middles), "g")
+    found = _moments(changed.groupBy("g", "start").agg(*_sums("f")), 1.0, "g", "start").join(near(middles), "g")
     scaled = found.select("g", "start", *(F.col("v")[i].alias(f"m{i}") for i in range(P)), *((F.col(f"c{i}{j}") * F.col("d")[i] * F.col("d")[j]).alias(f"c{i}{j}") for i, j in PAIRS))
-    return scratch.table(_whitening(scaled, "g", "start"), "starts")
-
-
-def _far(frame: DataFrame) -> Column:
-    return F.least(F.floor(DISTANCE_GRID * F.log1p(_distance(F.col("u")))), F.lit(DISTANCE_TOP)).cast("int").alias("far")
+    # no step's determinant is held against a start's
+    return scratch.table(_whitening(scaled, "g", "start").withColumn("det", F.lit(float("inf"))), "starts")
 
 
 def least_determinant(rows: DataFrame, scratch: Scratch, near) -> DataFrame:
     """(g, start, m, w, det) of each group of rows (g, u): the end of the concentration steps that has the least determinant."""
     now, ends = _starts(rows, near, scratch), []
-    for step in range(MOST_STEPS):
-        placed = rows.join(near(now), "g").select("g", "start", "u", _far(rows))
-        edge = scratch.table(_at_share(placed.groupBy("g", "start", "far").agg(F.count("*").alias("n")), ["g", "start"], "far", COVERAGE).withColumnRenamed("far", "edge"), "edges")
+    for _ in range(MOST_STEPS):
+        placed = rows.join(near(now), "g").selectExpr("g", "start", "u", FAR)
+        edge = _at_share(placed.groupBy("g", "start", "far").agg(F.count("*").alias("n")), ["g", "start"], "far", COVERAGE).withColumnRenamed("far", "edge")
         inner = placed.join(near(edge), ["g", "start"]).where("far <= edge")
-        after = scratch.table(_whitening(_moments(inner.groupBy("g", "start").agg(*_sums(F.col("u"))), CONSISTENT, "g", "start"), "g", "start"), "estimates")
-        moved = after.join(near(now.select("g", "start", F.col("det").alias("was"))), ["g", "start"]).withColumn("still", F.abs(F.col("det") - F.col("was")) < 1e-9)
-        moved = scratch.table(moved.drop("was"), "moved")
+        after = _whitening(_moments(inner.groupBy("g", "start").agg(*_sums("u")), CONSISTENT, "g", "start"), "g", "start")
+        moved = after.join(near(now.selectExpr("g", "start", "det AS was")), ["g", "start"]).selectExpr("g", "start", "m", "w", "det", f"was - det < {SETTLED}D AS still")
+        moved = scratch.table(moved, "estimates")
         ends.append(moved.where("still").drop("still"))
         now = moved.where("not still").drop("still")
         if now.isEmpty():
@@ -203,14 +203,10 @@ def least_determinant(rows: DataFrame, scratch: Scratch, near) -> DataFrame:
     return scratch.table(best.select("g", "x.start", "x.m", "x.w", "x.det"), "least")
 
 
-def _mixed(own: str, other: str) -> list[Column]:
-    """The moments of n parts of one estimate and SHRINK parts of another; n is 0 where the first has none."""
-    n = F.coalesce(F.col(f"{own}.n"), F.lit(0)).cast("double")
-    share = n / (n + SHRINK)
-    a = lambda c: F.coalesce(F.col(f"{own}.{c}"), F.lit(0.0))
-    b = lambda c: F.col(f"{other}.{c}")
-    mean = [(share * a(f"m{i}") + (1 - share) * b(f"m{i}")).alias(f"m{i}") for i in range(P)]
-    return [*mean, *((share * a(f"c{i}{j}") + (1 - share) * b(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in PAIRS)]
+def _mixed(own: str, other: str) -> list[str]:
+    """SQL of the moments of n parts of one estimate and SHRINK parts of another; n is 0 where the first has none."""
+    share = f"(coalesce({own}.n, 0) / (coalesce({own}.n, 0) + {SHRINK}D))"
+    return [f"{share} * coalesce({own}.{c}, 0D) + (1 - {share}) * {other}.{c} AS {c}" for c in (*(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS))]
 
 
 def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -219,12 +215,12 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     near = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda f: f)
     members = rows.where("not base_failed").select(F.explode(F.array(*map(_key, ("own", "lang", "all")))).alias("g"), "u")
     least = least_determinant(members, scratch, near)
-    within = members.join(near(least), "g").where(_distance(F.col("u")) <= INNER)
-    found = scratch.table(_moments(within.groupBy("g").agg(*_sums(F.col("u"))), INNER_CONSISTENT, "g"), "moments")
+    within = members.join(near(least), "g").where(f"{DISTANCE} <= {INNER}")
+    found = scratch.table(_moments(within.groupBy("g").agg(*_sums("u")), INNER_CONSISTENT, "g"), "moments")
     langs = groups.select("lang", "all").distinct().alias("k").join(found.alias("o"), F.col("k.lang") == F.col("o.g"), "left").join(found.alias("t"), F.col("k.all") == F.col("t.g"))
-    langs = scratch.table(langs.select("k.lang", *_mixed("o", "t")), "languages")
+    langs = scratch.table(langs.selectExpr("k.lang", *_mixed("o", "t")), "languages")
     own = groups.alias("k").join(found.alias("o"), F.col("k.own") == F.col("o.g"), "left").join(langs.alias("t"), F.col("k.lang") == F.col("t.lang"))
-    out = scratch.table(_whitening(own.select("k.own", *_mixed("o", "t")), "own"), "judges").drop("det")
+    out = scratch.table(_whitening(own.selectExpr("k.own", *_mixed("o", "t")), "own"), "judges").drop("det")
     return near(out)
 
 
@@ -233,7 +229,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(statistics(docs, id_col, text_col, lang_col, source_col, whole), "statistics")
     found = estimates(rows.select("lang", "source", "u", "base_failed"), scratch)
-    scored = rows.withColumn("own", _key("own")).join(found, "own", "left").withColumn("distance", _distance(F.col("u")))
+    scored = rows.withColumn("own", _key("own")).join(found, "own", "left").withColumn("distance", F.expr(DISTANCE))
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False)))
 
 

@@ -60,11 +60,12 @@ def least(u):
     """Centre and scatter of the least determinant, by steps until it settles."""
     ends = []
     for m, s in starts(u):
-        was = None
-        while was is None or abs(np.linalg.slogdet(s + np.eye(q.P))[1] - was) >= 1e-9:
-            was = np.linalg.slogdet(s + np.eye(q.P))[1]
+        was, now = np.inf, None
+        while now is None or was - now >= q.SETTLED:
+            was = np.inf if now is None else now
             far = np.floor(q.DISTANCE_GRID * np.log1p(distance(u, m, s + np.eye(q.P)))).clip(max=q.DISTANCE_TOP)
             m, s = scatter(u[far <= at_share(far, q.COVERAGE)], q.CONSISTENT)
+            now = np.linalg.slogdet(s + np.eye(q.P))[1]
         ends.append((np.linalg.slogdet(s + np.eye(q.P))[1], m, s))
     return min(ends, key=lambda e: e[0])
 

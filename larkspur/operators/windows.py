@@ -42,3 +42,17 @@ def over_groups(frame: DataFrame, partition: list, order: list, preceding: int |
 def filtered_over(aggregate, value: Column, where: Column, spec: WindowSpec) -> Column:
     """aggregate(value) FILTER (WHERE where) OVER spec; of count(*), pass F.lit(1)."""
     return aggregate(F.when(where, value)).over(spec)
+
+
+def row_numbers(frame: DataFrame, name: str, lead: str, lead_order: Column, order: list[Column]) -> DataFrame:
+    """row_number() over all rows by `lead_order` and then `order`, as column `name`.
+
+    Rows meet those of equal `lead` only; how many stand before each value of `lead` comes from a count per value. So
+    no task gets all rows, as it would with a window that has no partition; `lead` should have many values, or few rows each.
+    """
+    counts = frame.groupBy(lead).agg(F.count("*").alias("__lk_n"))
+    before = F.coalesce(F.sum("__lk_n").over(Window.orderBy(lead_order).rowsBetween(START, -1)), F.lit(0))
+    heads = counts.select(F.col(lead).alias("__lk_lead"), before.alias("__lk_before"))
+    joined = frame.join(heads, F.col(lead).eqNullSafe(F.col("__lk_lead")))
+    place = F.col("__lk_before") + F.row_number().over(Window.partitionBy(lead).orderBy(*order))
+    return joined.select(*frame.columns, place.cast("bigint").alias(name))

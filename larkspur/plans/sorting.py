@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import asc, desc
 from ..operators.relational import distinct_on, limit
+from ..operators.windows import row_numbers
 from ..sources.tables import table
 from .registry import query, sql
 
@@ -21,9 +22,7 @@ sql("union_type_unify", "SELECT CAST(k AS DOUBLE) AS k FROM (SELECT n_nationkey
 def order_multi_nulls(spark, sf_dir):
     """The default order of a descending key: nulls first. Places tell the order that a comparison of sets would not see."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.nullif(F.col("o_custkey") % 7, F.lit(3).cast("bigint")).alias("a"))
-    from ..operators.windows import window
-
-    return rows.withColumn("place", F.row_number().over(window(order=[desc("a"), asc("k")])).cast("bigint")).orderBy(desc("a"), asc("k"))
+    return row_numbers(rows, "place", "a", desc("a"), [asc("k")]).orderBy(desc("a"), asc("k"))
 
 
 @query("order_hidden_key", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")

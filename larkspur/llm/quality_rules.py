@@ -20,6 +20,8 @@ not grow with a group. Documents that fail the base rules are in no estimate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,25 +50,37 @@ GRID, DISTANCE_GRID, DISTANCE_TOP = 8, 64, 2560
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def repeat_words(words: Column) -> Column:
+def repeat_words(words: Column, hashed: Callable[..., Column] = F.xxhash64) -> Column:
     """Words in 3-word windows that the array of words holds twice or more.
 
     A window is a number: its hash above, its place below in as many bits as places need. Sorted, equal windows are
     neighbours, and neighbours of equal hashes are compared by their words; each one's place then counts the words up to
-    the next such place, 3 at most.
+    the next such place, 3 at most. Where neighbours of equal hashes differ in a word, others may stand between equal
+    windows: that text's windows are sorted by their words instead, so the count is exact at any length.
     """
 
     def count(w: Column) -> Column:
         bits = F.ceil(F.log2(F.size(w).cast("double"))).cast("int")
         top = lambda x: F.call_function("shiftright", x, bits)
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint")))
+        every = F.sequence(F.lit(0), F.size(w) - 3)
         mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
         place = lambda x: x.bitwiseAND(mask).cast("int")
         word = lambda x, k: F.get(w, place(x) + k)
-        alike = lambda x, y: (top(x) == top(y)) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
-        same = lambda s, x, i: F.coalesce(alike(x, F.get(s, i)), F.lit(False))
-        twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1)))
-        places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+        same_words = lambda x, y: (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+        by_hash = F.sort_array(F.transform(every, lambda i: F.call_function("shiftleft", hashed(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint"))))
+        by_words = F.sort_array(F.transform(every, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("bigint").alias("i"))))
+
+        def repeated(s: Column) -> Column:
+            same = lambda x, i: F.coalesce((top(x) == top(F.get(s, i))) & same_words(x, F.get(s, i)), F.lit(False))
+            clash = F.exists(F.transform(s, lambda x, i: F.coalesce((top(x) == top(F.get(s, i + 1))) & ~same_words(x, F.get(s, i + 1)), F.lit(False))), lambda b: b)
+            places = F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x.bitwiseAND(mask))
+            return F.when(clash, let(by_words, repeated_by_words)).otherwise(places)
+
+        def repeated_by_words(s: Column) -> Column:
+            same = lambda x, i: F.coalesce((x["a"] == F.get(s, i)["a"]) & (x["b"] == F.get(s, i)["b"]) & (x["c"] == F.get(s, i)["c"]), F.lit(False))
+            return F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])
+
+        places = F.sort_array(let(by_hash, repeated))
         return let(places, lambda q: F.aggregate(F.transform(q, lambda x, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(q, i + 1) - x, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
     return F.when(F.size(words) < 4, F.lit(0).cast("bigint")).otherwise(let(words, count))

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import quality_rules as q
 from larkspur.llm.common import Scratch
@@ -97,6 +98,16 @@ def test_least_determinant_of_all_subsets(spark):
         assert got[g] == pytest.approx(every, abs=1e-6)
 
 
+@pytest.mark.parametrize("hashed", [F.xxhash64, lambda *w: F.xxhash64(*w).bitwiseAND(F.lit(1))], ids=["xxhash64", "of one bit"])
+def test_repeated_words_by_hashes_that_meet(spark, hashed):
+    """Different windows of one hash, standing between equal ones, hide no repeat."""
+    random.seed(8)
+    texts = [" ".join(random.choice("abcd") for _ in range(n)) for n in (3, 4, 5, 9, 20, 70, 200)] + ["a b c x y z a b c", "p q r s t u", "a a a a", "a b c d " * 2000]
+    frame = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "i int, words array<string>")
+    got = {r.i: r.n for r in frame.select("i", q.repeat_words(F.col("words"), hashed).alias("n")).collect()}
+    assert got == {i: base(t)[4] for i, t in enumerate(texts)}
+
+
 def test_against_plain_version(spark):
     random.seed(6)
     words = ["the", "ring", "of", "Éa", "tion", "shx", "and", "er.", "wh", "ouable", "x|y", "#"]

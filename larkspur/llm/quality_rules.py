@@ -54,9 +54,9 @@ def repeat_words(words: Column, hashed: Callable[..., Column] = F.xxhash64) -> C
     """Words in 3-word windows that the array of words holds twice or more.
 
     A window is a number: its hash above, its place below in as many bits as places need. Sorted, equal windows are
-    neighbours, and neighbours of equal hashes are compared by their words; each one's place then counts the words up to
-    the next such place, 3 at most. Where neighbours of equal hashes differ in a word, others may stand between equal
-    windows: that text's windows are sorted by their words instead, so the count is exact at any length.
+    neighbours; each one's place then counts the words up to the next such place, 3 at most. Neighbours of equal hashes
+    are compared by their words: if any two of a text differ, its windows are sorted by their words instead, so the count
+    is exact at any length.
     """
 
     def count(w: Column) -> Column:
@@ -71,10 +71,12 @@ def repeat_words(words: Column, hashed: Callable[..., Column] = F.xxhash64) -> C
         by_words = F.sort_array(F.transform(every, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("bigint").alias("i"))))
 
         def repeated(s: Column) -> Column:
-            same = lambda x, i: F.coalesce((top(x) == top(F.get(s, i))) & same_words(x, F.get(s, i)), F.lit(False))
+            near = F.filter(s, lambda x, i: F.coalesce(top(x) == top(F.get(s, i - 1)), F.lit(False)) | F.coalesce(top(x) == top(F.get(s, i + 1)), F.lit(False)))
+            return let(near, verified)
+
+        def verified(s: Column) -> Column:
             clash = F.exists(F.transform(s, lambda x, i: F.coalesce((top(x) == top(F.get(s, i + 1))) & ~same_words(x, F.get(s, i + 1)), F.lit(False))), lambda b: b)
-            places = F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x.bitwiseAND(mask))
-            return F.when(clash, let(by_words, repeated_by_words)).otherwise(places)
+            return F.when(clash, let(by_words, repeated_by_words)).otherwise(F.transform(s, lambda x: x.bitwiseAND(mask)))
 
         def repeated_by_words(s: Column) -> Column:
             same = lambda x, i: F.coalesce((x["a"] == F.get(s, i)["a"]) & (x["b"] == F.get(s, i)["b"]) & (x["c"] == F.get(s, i)["c"]), F.lit(False))

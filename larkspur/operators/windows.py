@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def filtered_over(aggregate, value: Column, where: Column, spec: WindowSpec) ->
     return aggregate(F.when(where, value)).over(spec)
 
 
+def over_partition(frame: DataFrame, partition: list[str], **made: Column) -> DataFrame:
+    """Aggregates over whole partitions, as new columns of every row; for keys of few values.
+
+    Rows are summed up where they are read and each gets its partition's results, so that no task gets a whole partition.
+    """
+    return _beside(frame, partition, frame.groupBy(*partition).agg(*(value.alias(name) for name, value in made.items())))
+
+
+def _beside(frame: DataFrame, keys: list[str], results: DataFrame) -> DataFrame:
+    """Each row beside the results of its keys, null being a key too; the results are sent to every task."""
+    renamed = results.withColumnsRenamed({c: f"__lk_{c}" for c in keys})
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__lk_{c}")) for c in keys))
+    return frame.join(F.broadcast(renamed), same).drop(*(f"__lk_{c}" for c in keys))
+
+
 def row_numbers(frame: DataFrame, name: str, lead: str, lead_order: Column, order: list[Column]) -> DataFrame:
     """row_number() over all rows by `lead_order` and then `order`, as column `name`.
 

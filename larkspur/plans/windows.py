@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.windows import END, START, filtered_over, over_groups, ranking, window
+from ..operators.windows import END, START, filtered_over, over_groups, over_partition, ranking, window
 from ..sources.tables import table
 from .registry import query, sql
 
@@ -24,7 +24,6 @@ win("percent_rank", f"round(percent_rank() OVER ({TIES}), 9) AS r")
 win("cume_dist", f"round(cume_dist() OVER ({TIES}), 9) AS r")
 win("ntile", f"CAST(ntile(7) OVER ({BY}) AS BIGINT) AS r")
 win("lag_lead_default", f"lag(v) OVER ({BY}) AS a", f"lag(v, 3) OVER ({BY}) AS b", f"lead(v, 2, -1) OVER ({BY}) AS c")
-win("first_last_value", f"first_value(k) OVER ({BY}) AS a", f"last_value(k) OVER ({BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b")
 win("nth_value", f"nth_value(k, 3) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a")
 win("win_count_star", "CAST(count(*) OVER (PARTITION BY p) AS BIGINT) AS n", f"CAST(count(x) OVER ({TIES}) AS BIGINT) AS m")
 win("win_sum_running", f"CAST(sum(x) OVER ({TIES}) AS BIGINT) AS s")
@@ -47,6 +46,13 @@ def _t(spark, sf_dir):
     return orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("p"), (F.col("o_custkey") % 40).cast("int").alias("v"), F.nullif((F.col("o_custkey") % 11).cast("int"), F.lit(4)).alias("x"))
 
 
+@query("first_last_value", f"SELECT k, first_value(k) OVER ({BY}) AS a, last_value(k) OVER ({BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM {TB}")
+def first_last_value(spark, sf_dir):
+    """A frame from the partition's start has its first row, and one to its end has its last, whichever row is current."""
+    place = F.struct(F.col("v").isNull(), F.col("v"), F.col("k").isNull(), F.col("k"))
+    return over_partition(_t(spark, sf_dir), ["p"], a=F.min_by("k", place), b=F.max_by("k", place)).select("k", "a", "b")
+
+
 @query("frame_groups", f"SELECT k, CAST(sum(x) OVER ({TIES} GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s, CAST(count(*) OVER ({TIES} GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n FROM {TB}")
 def frame_groups(spark, sf_dir):
     return over_groups(_t(spark, sf_dir), ["p"], [F.col("v")], 2, 1, s=F.sum("x"), n=F.count("*")).select("k", "s", "n")

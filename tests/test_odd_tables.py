@@ -28,3 +28,18 @@ def test_sum_of_products_beyond_64_bits(answers):
     got, want = answers("sum_bigint_decimal", lineitem=f"SELECT f AS l_returnflag, CAST(k AS BIGINT) AS l_orderkey FROM (VALUES {lines}, ('X', NULL)) t(f, k)")
     assert got == want
     assert ("X", None) in got
+
+
+#: Orders with nulls in every column, ties, negative keys, and a customer's key that is alone in its status.
+ORDERS = "SELECT CAST(k AS BIGINT) AS o_orderkey, s AS o_orderstatus, CAST(c AS BIGINT) AS o_custkey FROM (VALUES (1, 'O', 44), (2, 'O', 4), (NULL, 'O', 4), (3, 'O', NULL), (NULL, 'O', NULL), (-5, 'F', -3), (6, 'F', 37), (7, 'F', 37), (NULL, 'F', 39), (8, NULL, 5), (9, NULL, 45), (10, 'P', NULL), (11, 'Q', 15)) t(k, s, c)"
+
+
+def plan_of(name, spark):
+    return registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_and_last_rows_of_partitions(spark, answers):
+    got, want = answers("first_last_value", orders=ORDERS)
+    assert got == want
+    # a frame to the partition's end would be read again for each row
+    assert "Window" not in plan_of("first_last_value", spark)

@@ -54,6 +54,16 @@ def over_partition(frame: DataFrame, partition: list[str], **made: Column) -> Da
     return _beside(frame, partition, frame.groupBy(*partition).agg(*(value.alias(name) for name, value in made.items())))
 
 
+def sum_to_end(frame: DataFrame, partition: list[str], key: str, value: str, name: str) -> DataFrame:
+    """sum(value) OVER (... ORDER BY key RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), nulls last, as column `name`; for keys of few values.
+
+    Peers share a result, so the window is over a row for each key, and backwards from the end, where it adds each row once.
+    """
+    sums = frame.groupBy(*partition, key).agg(F.sum(value).alias("__lk_sum"))
+    back = window(partition, [F.desc_nulls_first(key)], rows=(START, HERE))
+    return _beside(frame, [*partition, key], sums.select(*partition, key, F.sum("__lk_sum").over(back).alias(name)))
+
+
 def _beside(frame: DataFrame, keys: list[str], results: DataFrame) -> DataFrame:
     """Each row beside the results of its keys, null being a key too; the results are sent to every task."""
     renamed = results.withColumnsRenamed({c: f"__lk_{c}" for c in keys})

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.windows import END, START, filtered_over, over_groups, over_partition, ranking, window
+from ..operators.windows import END, START, filtered_over, over_groups, over_partition, ranking, sum_to_end, window
 from ..sources.tables import table
 from .registry import query, sql
 
@@ -37,7 +37,6 @@ win("frame_rows_past", f"CAST(sum(x) OVER ({BY} ROWS BETWEEN 5 PRECEDING AND 2 P
 win("frame_rows_future", f"CAST(sum(x) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS BIGINT) AS s")
 win("frame_rows_no_order", "CAST(count(*) OVER (PARTITION BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS BIGINT) AS s")
 win("frame_range_offset", f"CAST(sum(x) OVER ({TIES} RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s")
-win("frame_range_unbounded", f"CAST(sum(x) OVER ({TIES} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS s")
 sql("win_over_aggregate", "SELECT o_orderstatus AS p, o_orderpriority AS q, CAST(sum(count(*)) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS n, CAST(rank() OVER (ORDER BY count(*) DESC, o_orderstatus, o_orderpriority) AS BIGINT) AS r FROM {orders} GROUP BY o_orderstatus, o_orderpriority")
 
 
@@ -53,6 +52,11 @@ def first_last_value(spark, sf_dir):
     return over_partition(_t(spark, sf_dir), ["p"], a=F.min_by("k", place), b=F.max_by("k", place)).select("k", "a", "b")
 
 
+@query("frame_range_unbounded", f"SELECT k, CAST(sum(x) OVER ({TIES} RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS s FROM {TB}")
+def frame_range_unbounded(spark, sf_dir):
+    return sum_to_end(_t(spark, sf_dir), ["p"], "v", "x", "s").select("k", "s")
+
+
 @query("frame_groups", f"SELECT k, CAST(sum(x) OVER ({TIES} GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s, CAST(count(*) OVER ({TIES} GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n FROM {TB}")
 def frame_groups(spark, sf_dir):
     return over_groups(_t(spark, sf_dir), ["p"], [F.col("v")], 2, 1, s=F.sum("x"), n=F.count("*")).select("k", "s", "n")

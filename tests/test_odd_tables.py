@@ -43,3 +43,11 @@ def test_first_and_last_rows_of_partitions(spark, answers):
     assert got == want
     # a frame to the partition's end would be read again for each row
     assert "Window" not in plan_of("first_last_value", spark)
+
+
+def test_sums_from_peers_to_the_end(spark, answers):
+    got, want = answers("frame_range_unbounded", orders=ORDERS)
+    assert got == want
+    # the rows meet in no window, only their sums do
+    window = plan_of("frame_range_unbounded", spark).partition("Window [")[2]
+    assert "unboundedpreceding$(), currentrow$()" in window.splitlines()[0] and "HashAggregate" in window

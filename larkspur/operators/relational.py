@@ -54,6 +54,19 @@ def all_of(value: Column, others: list[Column], compare) -> Column:
     return reduce(lambda x, y: x & y, (compare(value, o) for o in others), F.lit(True))
 
 
+def not_in(frame: DataFrame, value: str, others: DataFrame) -> DataFrame:
+    """The rows with value NOT IN others' one column: all if that has no rows, none if it has a null, else those whose value is known and not in it.
+
+    Spark's own join for this sends all others through the driver to every task. Here they meet the rows by key, each
+    of them once, and what is sent around is how many they are and how many are null.
+    """
+    other, rows, known = "__lk_other", "__lk_rows", "__lk_known"
+    keys = others.toDF(other)
+    counts = keys.agg(F.count("*").alias(rows), F.count(other).alias(known))
+    some = frame.join(F.broadcast(counts), (F.col(rows) == 0) | ((F.col(rows) == F.col(known)) & F.col(value).isNotNull()))
+    return some.join(keys.distinct(), F.col(value) == F.col(other), "left_anti").drop(rows, known)
+
+
 def unique_names(frame: DataFrame) -> DataFrame:
     """Output columns of one name get numbers behind it, as results need names of their own."""
     seen: dict[str, int] = {}

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.text import bpchar, bpchar_key
+from ..operators.relational import not_in
 from ..sources.tables import tables
 from .registry import query, sql
 
@@ -29,8 +30,6 @@ sql("semi_exists_nonequi", "SELECT n_nationkey FROM {nation} WHERE EXISTS (SELEC
 sql("semi_in_correlated", "SELECT o_orderkey FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} WHERE l_shipdate > o_orderdate AND l_quantity > 49)")
 sql("semi_in_uncorrelated", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49)")
 sql("anti_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-sql("anti_not_in", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 40)")
-sql("anti_not_in_with_null", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT NULLIF(l_partkey, 1) FROM {lineitem})")
 sql("scalar_subquery_where", "SELECT s_suppkey FROM {supplier} WHERE CAST(s_acctbal AS DECIMAL(18,2)) > (SELECT CAST(max(c_acctbal) AS DECIMAL(18,2)) - 1000 FROM {customer})")
 sql("scalar_subquery_select", "SELECT r_regionkey, (SELECT CAST(count(*) AS BIGINT) FROM {nation}) AS n FROM {region}")
 sql("scalar_subquery_having", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY o_orderstatus HAVING count(*) > (SELECT count(*) / 2 FROM {customer})")
@@ -39,6 +38,18 @@ sql("correlated_scalar", "SELECT c_custkey, (SELECT CAST(count(*) AS BIGINT) FRO
 sql("bloom_candidate_join", "SELECT o_orderkey, l_linenumber FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_totalprice > 490000 AND o_orderstatus = 'P'")
 
 
+@query("anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
+def anti_not_in(spark, sf_dir):
+    part, lineitem = tables(spark, sf_dir, "part", "lineitem")
+    return not_in(part.select("p_partkey"), "p_partkey", lineitem.where("l_quantity > 40").select("l_partkey"))
+
+
+@query("anti_not_in_with_null", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT NULLIF(l_partkey, 1) FROM lineitem)")
+def anti_not_in_with_null(spark, sf_dir):
+    part, lineitem = tables(spark, sf_dir, "part", "lineitem")
+    return not_in(part.select("p_partkey"), "p_partkey", lineitem.select(F.nullif("l_partkey", F.lit(1).cast("bigint"))))
+
+
 @query("bpchar_join_key", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON rtrim(rpad(substr(a.n_name, 1, 8), 12, ' ')) = rtrim(rpad(substr(b.n_name, 1, 8), 10, ' '))")
 def bpchar_join_key(spark, sf_dir):
     """char(12) joined to char(10): trailing blanks do not count."""

@@ -51,3 +51,28 @@ def test_sums_from_peers_to_the_end(spark, answers):
     # the rows meet in no window, only their sums do
     window = plan_of("frame_range_unbounded", spark).partition("Window [")[2]
     assert "unboundedpreceding$(), currentrow$()" in window.splitlines()[0] and "HashAggregate" in window
+
+
+NO_LINES = "SELECT CAST(1 AS BIGINT) AS l_partkey, 50.0::DOUBLE AS l_quantity WHERE false"
+
+
+@pytest.mark.parametrize("name", ["anti_not_in", "anti_not_in_with_null"])
+@pytest.mark.parametrize("lines", [NO_LINES, "SELECT unnest([2, 3, 3, 7]) AS l_partkey, 50.0::DOUBLE AS l_quantity", "SELECT unnest([2, NULL]) AS l_partkey, 50.0::DOUBLE AS l_quantity", "SELECT unnest([1, 2]) AS l_partkey, 50.0::DOUBLE AS l_quantity"])
+def test_not_in_of_no_rows_and_of_nulls(answers, name, lines):
+    got, want = answers(name, part="SELECT unnest([1, 1, 2, 3, 4, NULL])::BIGINT AS p_partkey", lineitem=f"SELECT l_partkey::BIGINT AS l_partkey, l_quantity FROM ({lines})")
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["anti_not_in", "anti_not_in_with_null"])
+def test_not_in_sends_no_table_through_the_driver(spark, name):
+    bounds = {"spark.sql.maxBroadcastTableSize": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
+    try:
+        rows, plan = registry.queries()[name](spark, "/root/testdata/sf0.001").collect(), plan_of(name, spark)
+    finally:
+        for k in bounds:
+            spark.conf.unset(k)
+    assert bool(rows) == (name == "anti_not_in")
+    # small tables with a null are given up when it is met, large ones when memory is asked for: the plan tells
+    assert "BroadcastHashJoin" not in plan
